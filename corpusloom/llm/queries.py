@@ -32,8 +32,64 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def _learnable(labels: DataFrame, modulus: int, aside: int) -> DataFrame:
+    """Rows that may be learned from: those whose id's checksum does not set them aside."""
+    from .common import crc_mod
+
+    return labels.where(crc_mod(F.col("doc_id"), modulus) != aside)
+
+
+def _held_out(modulus: int, aside: int):
+    from .common import crc_mod
+
+    return F.coalesce(crc_mod(F.col("doc_id"), modulus) == aside, F.lit(False)).alias("held_out")
+
+
+QUALITY_FROM, TOXIC_FROM = 0.3, 0.7
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    from . import quality
+
+    return quality.train(_read(spark, sf_dir, "documents"), _learnable(_read(spark, sf_dir, "labels"), 5, 0))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    from . import toxicity
+
+    return toxicity.train(_read(spark, sf_dir, "documents"), _learnable(_read(spark, sf_dir, "labels"), 3, 1))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    scored = quality.score(_read(spark, sf_dir, "documents"), quality_model(spark, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    scored = toxicity.score(_read(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = _read(spark, sf_dir, "documents")
+    named = langid.predict(docs, langid.train(_learnable(docs, 4, 2)), keep=["doc_id"])
+    return named.select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_byte_bpe": op2_byte_bpe}
+    return {
+        "op1_packing": op1_packing,
+        "op2_byte_bpe": op2_byte_bpe,
+        "op4_quality": op4_quality,
+        "op6_toxicity": op6_toxicity,
+        "op9_language": op9_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
