@@ -74,6 +74,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import components
+
+    found = components(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op4_quality": op4_quality,
         "op6_toxicity": op6_toxicity,
+        "op7_simhash": op7_simhash,
         "op9_language": op9_language,
     }
 
