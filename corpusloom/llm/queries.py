@@ -67,6 +67,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import strip_repeats
+
+    return strip_repeats(_read(spark, sf_dir, "documents"), keep="none", digest=True, columns=["doc_id"])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_byte_bpe": op2_byte_bpe,
         "op4_quality": op4_quality,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op9_language": op9_language,
