@@ -95,6 +95,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import edit_sensitivity
+
+    return edit_sensitivity(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -104,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op9_language": op9_language,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
