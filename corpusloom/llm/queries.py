@@ -32,6 +32,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract, labelled_pages, train
+
+    return extract(_read(spark, sf_dir, "pages"), train(labelled_pages()), keep=["page_id", "url"])
+
+
 def _learnable(labels: DataFrame, modulus: int, aside: int) -> DataFrame:
     """Rows that may be learned from: those whose id's checksum does not set them aside."""
     from .common import crc_mod
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_html_extract": op3_html_extract,
         "op4_quality": op4_quality,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_toxicity": op6_toxicity,
