@@ -93,6 +93,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import album, copies
+
+    return copies(album(_read(spark, sf_dir, "embeddings")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -116,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
+        "op8_media_copies": op8_media_copies,
         "op9_language": op9_language,
         "op10_order_minhash": op10_order_minhash,
     }
