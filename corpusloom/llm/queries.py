@@ -38,11 +38,11 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"), train(labelled_pages()), keep=["page_id", "url"])
 
 
-def _learnable(labels: DataFrame, modulus: int, aside: int) -> DataFrame:
+def learnable(spark: SparkSession, sf_dir: str, modulus: int, aside: int, table: str = "labels") -> DataFrame:
     """Rows that may be learned from: those whose id's checksum does not set them aside."""
     from .common import crc_mod
 
-    return labels.where(crc_mod(F.col("doc_id"), modulus) != aside)
+    return _read(spark, sf_dir, table).where(crc_mod(F.col("doc_id"), modulus) != aside)
 
 
 def _held_out(modulus: int, aside: int):
@@ -57,13 +57,13 @@ QUALITY_FROM, TOXIC_FROM = 0.3, 0.7
 def quality_model(spark: SparkSession, sf_dir: str):
     from . import quality
 
-    return quality.train(_read(spark, sf_dir, "documents"), _learnable(_read(spark, sf_dir, "labels"), 5, 0))
+    return quality.train(_read(spark, sf_dir, "documents"), learnable(spark, sf_dir, 5, 0))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str):
     from . import toxicity
 
-    return toxicity.train(_read(spark, sf_dir, "documents"), _learnable(_read(spark, sf_dir, "labels"), 3, 1))
+    return toxicity.train(_read(spark, sf_dir, "documents"), learnable(spark, sf_dir, 3, 1))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
     docs = _read(spark, sf_dir, "documents")
-    named = langid.predict(docs, langid.train(_learnable(docs, 4, 2)), keep=["doc_id"])
+    named = langid.predict(docs, langid.train(learnable(spark, sf_dir, 4, 2, "documents")), keep=["doc_id"])
     return named.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 

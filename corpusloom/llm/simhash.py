@@ -221,11 +221,23 @@ def _compare_groups(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable over links of radius bits at most)."""
+    """doc_id, fp, component_id (the smallest id reachable over links of radius bits at most), root (the component's least fp)."""
     rows = settle(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"], size=size), "prints")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(prints.select("fp"), radius))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = settle(named, "roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(ids, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (of equals that of the smallest fingerprint)."""
+    found = settle(components(docs, id_col, text_col), "components")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.fp").alias("__fp"))
+    twice = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not twice:
+        return docs.join(best, docs[id_col] == best["__id"], "left_semi")
+    marked = fingerprints(docs, text_col, name="__own")
+    same = marked[id_col].eqNullSafe(best["__id"]) & (marked["__own"] == best["__fp"])
+    return marked.join(best, same, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")

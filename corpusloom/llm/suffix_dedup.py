@@ -218,17 +218,18 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 _KEYS = ["k1", "k2"]
+_NAMED = ["__k1 AS k1", "__k2 AS k2", "__ord AS ord"]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"__text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(11), text, F.length(text)), "__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
+    return docs.withColumns({"__text": text, "__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(11), text, F.length(text)), "__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per run: h, w (stretch), k1, k2, ord, pack (the anchor's place, and how far before it the run starts and ends)."""
     bound_batches(docs.sparkSession)
-    rows = _keyed(docs, id_col, text_col).select("k1", "k2", F.col("__ord").alias("ord"), F.col("__text").alias("text")).where(F.octet_length("text") >= length)
+    rows = _keyed(docs, id_col, text_col).select(*map(F.expr, _NAMED), F.col("__text").alias("text")).where(F.octet_length("text") >= length)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +274,7 @@ def spans(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col:
     asked = kinds.where("kinds > 1").select("h", "w", "kinds", "lo.*")
     buckets = max(1, -(-asked.where(F.col("kinds") <= group).count() // TOGETHER))
     wanted = asked.groupBy("k1", "k2", "ord").agg(F.collect_list(F.struct("h", "w", "kinds", _place().alias("place"), _first().alias("first"), _last().alias("last"))).alias("runs"))  # of one text
-    texts = _keyed(docs, id_col, text_col).select("k1", "k2", F.col("__ord").alias("ord"), "__text")
+    texts = _keyed(docs, id_col, text_col).select(*map(F.expr, _NAMED), "__text")
     read = settle(_read_runs(wanted.join(texts, ["k1", "k2", "ord"]), length, group), "runs")
     some = read.where(F.col("windows").isNull()).withColumn("g", F.pmod("h", F.lit(buckets)))
     per = some.groupBy("g").applyInPandas(lambda rows: _compare_strips(rows, length), "k1 long, k2 long, ord long, a long, b long, earlier boolean")
@@ -342,8 +343,7 @@ def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", t
     n_bytes, n_removed, n_spans and kept_sha256 of the bytes left."""
     found = spans(docs, keep, id_col, text_col, length)
     by = ["k1", "k2", "ord"] if keep == "first" else _KEYS
-    rows = _keyed(docs, id_col, text_col).withColumnRenamed("__ord", "ord")
-    joined = rows.join(found, by, "left")
+    joined = _keyed(docs, id_col, text_col).join(found.select(*(F.col(c).alias(f"__{c}") for c in [*by, "s"])), [f"__{c}" for c in by], "left")
     fields = [f for f in docs.schema.fields if f.name != text_col and (columns is None or f.name in columns)]
     names = [f.name for f in fields]
     new = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())] if digest else [StructField(text_col, StringType())]
@@ -368,4 +368,4 @@ def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", t
             types = [pa.int64()] * 3 + [pa.string()] if digest else [pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=names + [f.name for f in new])
 
-    return joined.select(*names, "__text", "s").mapInArrow(run, StructType(fields + new))
+    return joined.select(*names, "__text", "__s").mapInArrow(run, StructType(fields + new))
