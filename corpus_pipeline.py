@@ -1,26 +1,71 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+quality -> toxicity -> SimHash near-dedup -> suffix-array dedup -> packing. All but the last return the columns of
+documents; the last returns the pieces of packed sequences. Models are trained on the rows a stage is given, with the
+labels of the same folder.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.llm import packing, quality, queries, simhash, suffix_dedup, toxicity
 from corpusloom.llm.common import shared_dir
 
-STAGES: list = []
-
 #: The stages run trained models and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.train(docs, queries.learnable(spark, sf_dir, 5, 0))
+    return quality.score(docs, model, name="__score").where(F.col("__score") >= queries.QUALITY_FROM).select(*docs.columns)
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar does not reject."""
+    model = toxicity.train(docs, queries.learnable(spark, sf_dir, 3, 1))
+    return toxicity.score(docs, model, name="__score").where(F.col("__score") < queries.TOXIC_FROM).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return simhash.deduplicate(docs).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of passages; the first copy stays. n_chars follows the text."""
+    cut = suffix_dedup.strip_repeats(docs, keep="first")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(queries.PACK_VOCABULARY))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("toxicity", keep_civil),
+    ("simhash", drop_near_copies),
+    ("suffix", cut_repeats),
+    ("packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; those between are written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{home}/{i}-{name}")
+    *before, (_, last) = STAGES
+    for i, (name, stage) in enumerate(before):
+        stage(spark, docs, sf_dir).write.parquet(f"{home}/{i}-{name}")
         docs = spark.read.parquet(f"{home}/{i}-{name}")
-    return docs
+    return last(spark, docs, sf_dir)
