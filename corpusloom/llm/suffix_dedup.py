@@ -261,12 +261,15 @@ def spans(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col:
     """k1, k2, (ord, where keep is "first",) s: spans to remove, one row per text (and document id)."""
     spark, first = docs.sparkSession, keep == "first"
     found = settle(anchors(docs, id_col, text_col, length), "anchors")
-    again = found.groupBy("h").count().where("count > 1").select("h")
+    # counts are written before they are joined: both sides of the joins then come from plain exchanges, and the tasks
+    # of an anchor that very many texts share can be split
+    again = settle(found.groupBy("h").count().where("count > 1").select("h"), "again")
     hits = settle(found.join(again, "h"), "hits")  # only what recurs goes on
     release(spark)
     me = F.struct("ord", "k1", "k2", "pack")
-    stretch = hits.groupBy("h", "w").agg(F.count("*").alias("copies"), F.min(me).alias("lo"))
-    kinds = settle(stretch.join(stretch.groupBy("h").agg(F.count("*").alias("kinds")), "h"), "stretches")
+    stretch = settle(hits.groupBy("h", "w").agg(F.count("*").alias("copies"), F.min(me).alias("lo")), "stretch")
+    counts = settle(stretch.groupBy("h").agg(F.count("*").alias("kinds")), "counts")
+    kinds = settle(stretch.join(counts, "h"), "stretches")
     # copies of a whole stretch: all of them, or all but the first
     whole = hits.join(kinds.where("copies > 1").select("h", "w", "lo"), ["h", "w"])
     whole = (whole.where(me != F.col("lo")) if first else whole).select("k1", "k2", "ord", _first().alias("a"), (_last() + length).alias("b"))
