@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def generator(fn: Callable[[str], str]) -> Callable[[Column], Column]:
@@ -22,7 +22,7 @@ def generator(fn: Callable[[str], str]) -> Callable[[Column], Column]:
 
 def judge(df: DataFrame, prompt: str, story: str, fn: Callable[[str, str], str], attempts: int = 8) -> DataFrame:
     """UDF-02, 03: adds raw (what fn(story, prompt) said) and status; a call that fails attempts times is an error row."""
-    schema = df.schema.add("raw", "string").add("status", "string")
+    schema = StructType([*df.schema.fields, StructField("raw", StringType()), StructField("status", StringType())])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

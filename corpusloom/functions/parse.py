@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,17 +79,23 @@ def build_input(slots: dict[str, Column]) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("Teaching: include a clear moral at the end")
 
 
-def format_record(record: Column) -> dict[str, Column]:
-    """PRS-06: a JSON record as (instruction, input, output); output is null where there is no story."""
-    prompt = F.coalesce(F.get_json_object(record, "$.prompt"), F.lit(""))
-    parsed = parse_aliases(prompt)
-    story = T.clean_text(F.replace(nested_text(record, STORY_KEYS), F.lit("**"), F.lit("")))
-    story = T.sub(story, r"(?iU)\bThe moral\s*:", "Moral:")
-    teaching = F.coalesce(nested_text(record, FIELD_KEYS["teaching"]), parsed["teaching"], F.lit(""))
-    story = F.when((teaching != "") & ~T.has_moral(story), F.concat(T.rstrip(story), F.lit(" Moral: "), teaching)).otherwise(story)
-    slots = {k: F.coalesce(nested_text(record, keys), parsed[k]) for k, keys in FIELD_KEYS.items()}
-    slots["teaching"] = F.coalesce(slots["teaching"], infer_moral(story))
-    return {"instruction": F.lit(INSTRUCTION), "input": build_input(slots), "output": F.when(nested_text(record, STORY_KEYS).isNotNull(), story)}
+def format_records(df: DataFrame, record: str) -> DataFrame:
+    """PRS-06: adds instruction, input and output of a JSON record; output is null where there is no story.
+
+    Fields are read in one step, the story is made in the next, so that no field is parsed twice.
+    """
+    r, names = F.col(record), list(df.columns)
+    prompt = F.coalesce(F.get_json_object(r, "$.prompt"), F.lit(""))
+    fields = {k: F.coalesce(nested_text(r, keys), parse_aliases(prompt)[k]) for k, keys in FIELD_KEYS.items()}
+    df = df.withColumns({**{f"__{k}": c for k, c in fields.items()}, "__story": nested_text(r, STORY_KEYS)})
+    story = T.sub(T.clean_text(F.replace(F.col("__story"), F.lit("**"), F.lit(""))), r"(?iU)\bThe moral\s*:", "Moral:")
+    df = df.withColumn("__plain", story)
+    teaching = F.coalesce("__teaching", F.lit(""))
+    told = F.when((teaching != "") & ~T.has_moral(F.col("__plain")), F.concat(T.rstrip(F.col("__plain")), F.lit(" Moral: "), teaching)).otherwise(F.col("__plain"))
+    df = df.withColumn("output", F.when(F.col("__story").isNotNull(), told))
+    slots = {k: F.col(f"__{k}") for k in FIELD_KEYS}
+    slots["teaching"] = F.coalesce("__teaching", infer_moral(F.col("output")))
+    return df.withColumn("instruction", F.lit(INSTRUCTION)).withColumn("input", build_input(slots)).select(*names, "instruction", "input", "output")
 
 
 def key_values(c: Column) -> Column:
@@ -127,7 +133,7 @@ def infer_character(story: Column) -> Column:
 
 def children_story(text: Column, characters: Column, setting: Column, tags: Column) -> dict[str, Column]:
     """PRS-09: a children's story as (input, output); null where no character is known."""
-    given = F.array_join(F.slice(F.filter(F.transform(characters, T.clean_text), lambda x: x != ""), 1, 2), ", ")
+    given = F.array_join(F.slice(F.filter(F.transform(characters, lambda x: T.clean_text(x)), lambda x: x != ""), 1, 2), ", ")
     character = blank_to_null(F.coalesce(blank_to_null(given), infer_character(text)))
     teaching = teaching_of_tags(tags)
     lines = [
@@ -176,9 +182,9 @@ def title_segments(lines: Column, first_title: Column) -> Column:
 def heading_segments(page: Column, heading: str = "h2", cut: bool = True) -> Column:
     """PRS-14, SRC-07, 09: an array of (topic, body): each heading with the paragraphs up to the next."""
     pattern = rf"(?is)<{heading}[^>]*>(.*?)</{heading}>"
-    titles = F.transform(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)), T.strip_html_blocks)
+    titles = F.transform(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)), lambda x: T.strip_html_blocks(x))
     sections = F.slice(F.split(page, pattern, -1), 2, F.greatest(F.size(titles), F.lit(1)))
-    text = lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), T.strip_html_blocks), "\n")
+    text = lambda s: F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda x: T.strip_html_blocks(x)), "\n")
     return F.transform(F.arrays_zip(titles.alias("topic"), sections.alias("s")), lambda r: F.struct(r["topic"].alias("topic"), (T.cut_footer(text(r["s"])) if cut else text(r["s"])).alias("body")))
 
 

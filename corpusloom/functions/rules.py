@@ -6,7 +6,7 @@ are plain expressions over one row, so a scan evaluates them in a single project
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -133,9 +133,8 @@ def title_like(story: Column) -> Column:
     return F.coalesce(short | ((n <= 8) & (capital >= F.greatest(F.lit(3), n - 1))), F.lit(False))
 
 
-def rewrite(output: Column, teaching: Column, character: Column, setting: Column) -> dict[str, Column]:
-    """QF-03, fifteen rules, on the normalised text."""
-    story = T.normalize_rewrite(output, teaching)
+def rewrite(story: Column, teaching: Column, character: Column, setting: Column) -> dict[str, Column]:
+    """QF-03, fifteen rules, on text that T.normalize_rewrite has normalised (in a column of its own: rules read it often)."""
     lower, n = F.lower(story), F.size(T.words(story))
     parts = T.paragraphs(story)
     lengths = T.word_lengths(T.sentences(T.without_moral(story)))
@@ -397,16 +396,20 @@ def chat_text(system: Column, user: Column, assistant: Column) -> Column:
     return F.concat(F.lit("<|begin_of_text|>"), turn("system", system), turn("user", user), turn("assistant", assistant))
 
 
-def enhance(story: Column, teaching: Column, character: Column, setting: Column, rewritten: Column | None = None) -> dict[str, Column]:
-    """SCR-08: validate, take an injected rewrite where rules are severe, normalise the moral, validate again."""
-    _, severe = validation(story, character, setting)
-    wants = F.size(reasons(severe)) > 0
-    took = wants & rewritten.isNotNull() if rewritten is not None else F.lit(False)
-    draft = F.when(took, rewritten).otherwise(story) if rewritten is not None else story
-    final = T.normalize_moral_line(draft, teaching)
-    fixable2, severe2 = validation(final, character, setting)
-    actions = reasons({"rewrite": took, "moral_postprocess": final != T.strip(draft)})
-    return {"story": final, "actions": actions, "final_fixable": reasons(fixable2), "final_severe": reasons(severe2)}
+def enhance(df: DataFrame, story: str, teaching: str, character: str, setting: str, rewritten: str | None = None) -> DataFrame:
+    """SCR-08: validate, take an injected rewrite where rules are severe, normalise the moral, validate again.
+
+    Adds enhanced, actions, final_fixable and final_severe; each step reads the column of the one before.
+    """
+    slots = F.col(character), F.col(setting)
+    _, severe = validation(F.col(story), *slots)
+    took = (F.size(reasons(severe)) > 0) & F.col(rewritten).isNotNull() if rewritten else F.lit(False)
+    df = df.withColumn("__took", took)
+    df = df.withColumn("__draft", F.when(F.col("__took"), F.col(rewritten)).otherwise(F.col(story)) if rewritten else F.col(story))
+    df = df.withColumn("enhanced", T.normalize_moral_line(F.col("__draft"), F.col(teaching)))
+    fixable, severe = validation(F.col("enhanced"), *slots)
+    actions = reasons({"rewrite": F.col("__took"), "moral_postprocess": F.col("enhanced") != T.strip(F.col("__draft"))})
+    return df.withColumns({"actions": actions, "final_fixable": reasons(fixable), "final_severe": reasons(severe)}).drop("__took", "__draft")
 
 
 def preference_pair(a: Column, b: Column, score_a: Column, score_b: Column, margin: float = 1.0) -> dict[str, Column]:

@@ -247,8 +247,11 @@ def content_words(c: Column) -> Column:
 
 
 def ngrams(t: Column, n: int) -> Column:
-    """TOK-07: contiguous n-grams as arrays; none for fewer than n tokens."""
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    """TOK-07: contiguous n-grams as arrays; none for fewer than n tokens. Shifted copies of the tokens are zipped, so
+    that t is evaluated n times and not once a gram."""
+    zipped = F.arrays_zip(*(F.slice(t, k + 1, F.greatest(F.size(t) - k, F.lit(0))).alias(f"g{k}") for k in range(n)))
+    grams = F.transform(zipped, lambda r: F.array(*(r[f"g{k}"] for k in range(n))))
+    return F.slice(grams, 1, F.greatest(F.size(t) - n + 1, F.lit(0)))
 
 
 def sentences(c: Column, terminators: str = ".!?") -> Column:

@@ -31,7 +31,10 @@ def bag_intersection(left: DataFrame, right: DataFrame, keys: list[str], n: str
 
 def first_mapping(*maps: Column) -> Column:
     """SET-04: merged maps in which the first mapping of a key stays."""
+    def beside(held: Column, more: Column) -> Column:
+        return F.map_concat(held, F.map_filter(more, lambda k, _: ~F.map_contains_key(held, k)))
+
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(out, F.map_filter(m, lambda k, _v, o=out: ~F.map_contains_key(o, k)))
+        out = beside(out, m)
     return out

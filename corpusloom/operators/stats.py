@@ -222,7 +222,8 @@ def pair_accuracy(chosen: str, rejected: str) -> Column:
 def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
     """AGG-28: the value at place n // 2 in order (not a mean of two), with least, greatest and mean."""
     # percentile_disc picks the first value whose share reaches q, so q just above a half is place n // 2
-    return df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"), F.expr(f"percentile_disc(0.5000000000001D) WITHIN GROUP (ORDER BY {value})").alias("median"))
+    median = F.expr(f"percentile_disc(0.5000000000001D) WITHIN GROUP (ORDER BY {value})").cast(df.schema[value].dataType)
+    return df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"), median.alias("median"))
 
 
 def criteria_means(df: DataFrame, model: str, criteria: list[str]) -> DataFrame:
