@@ -5,8 +5,8 @@
    an anchor's hash occurs twice. A run of windows with the same anchor is one row: the anchor's hash, a hash of the
    run's whole bytes (its stretch), the text's key, and where it lies. This is linear in the input, and only these rows
    (not the text) are shuffled.
-2. Anchors whose hash occurs at one place only are dropped. Runs with equal anchors and equal stretches are copies of
-   one another as a whole; one of them, the first, stands for all.
+2. The rows are sorted by anchor and stretch. Anchors whose hash occurs at one place only are done with. Runs with equal
+   anchors and equal stretches are copies of one another as a whole; one of them, the first, stands for all.
 3. Where an anchor has several different stretches, these (one of each) are read from the texts and put into a suffix
    array with separators. Its longest-previous-factor array comes from the previous and next smaller positions in
    suffix order, and likewise the longest next factor from the previous and next larger ones. Positions whose factor
@@ -226,7 +226,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"__text": text, "__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(11), text, F.length(text)), "__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
 
 
-def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per run: h, w (stretch), k1, k2, ord, pack (the anchor's place, and how far before it the run starts and ends)."""
     bound_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col).select(*map(F.expr, _NAMED), F.col("__text").alias("text")).where(F.octet_length("text") >= length)
@@ -235,7 +235,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         for batch in batches:
             text = batch.column(3)
             for at, n in slices(text):
-                found = [anchor_runs(np.frombuffer(t.encode(), np.uint8), length) for t in text.slice(at, n).to_pylist()]
+                found = [anchor_runs(np.frombuffer(t.encode(), np.uint8), length, gram) for t in text.slice(at, n).to_pylist()]
                 owner = pa.array(np.repeat(np.arange(n), np.array([len(f[0]) for f in found])))
                 h, w, place, first, last = (np.concatenate([f[k] for f in found]) for k in range(5))
                 ids = [batch.column(c).slice(at, n).take(owner) for c in range(3)]
@@ -257,24 +257,19 @@ def _last():
     return _place() - F.col("pack").bitwiseAND(F.lit(1023))
 
 
-def spans(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def spans(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP, gram: int = GRAM) -> DataFrame:
     """k1, k2, (ord, where keep is "first",) s: spans to remove, one row per text (and document id)."""
     spark, first = docs.sparkSession, keep == "first"
-    found = settle(anchors(docs, id_col, text_col, length), "anchors")
-    # counts are written before they are joined: both sides of the joins then come from plain exchanges, and the tasks
-    # of an anchor that very many texts share can be split
-    again = settle(found.groupBy("h").count().where("count > 1").select("h"), "again")
-    hits = settle(found.join(again, "h"), "hits")  # only what recurs goes on
+    told = settle(_sorted_marks(settle(anchors(docs, id_col, text_col, length, gram), "anchors"), first), "marks")
     release(spark)
-    me = F.struct("ord", "k1", "k2", "pack")
-    stretch = settle(hits.groupBy("h", "w").agg(F.count("*").alias("copies"), F.min(me).alias("lo")), "stretch")
-    counts = settle(stretch.groupBy("h").agg(F.count("*").alias("kinds")), "counts")
-    kinds = settle(stretch.join(counts, "h"), "stretches")
+    marks = _mended(told, first)
     # copies of a whole stretch: all of them, or all but the first
-    whole = hits.join(kinds.where("copies > 1").select("h", "w", "lo"), ["h", "w"])
-    whole = (whole.where(me != F.col("lo")) if first else whole).select("k1", "k2", "ord", _first().alias("a"), (_last() + length).alias("b"))
+    whole = marks.where("gone").select("k1", "k2", "ord", _first().alias("a"), (_last() + length).alias("b"))
     # the first of each of several stretches of an anchor: read, and compared by suffix arrays
-    asked = kinds.where("kinds > 1").select("h", "w", "kinds", "lo.*")
+    asked = marks.where("mixed").select("h", "w", "k1", "k2", "ord", "pack", F.col("kind").alias("kinds"))
+    crowded = settle(asked.groupBy("h").agg(F.max("kinds").alias("most")).where(F.col("most") > group), "crowded")
+    if crowded.limit(1).count():
+        asked = asked.join(crowded, "h", "left").withColumn("kinds", F.coalesce("most", "kinds")).drop("most")
     buckets = max(1, -(-asked.where(F.col("kinds") <= group).count() // TOGETHER))
     wanted = asked.groupBy("k1", "k2", "ord").agg(F.collect_list(F.struct("h", "w", "kinds", _place().alias("place"), _first().alias("first"), _last().alias("last"))).alias("runs"))  # of one text
     texts = _keyed(docs, id_col, text_col).select(*map(F.expr, _NAMED), "__text")
@@ -293,6 +288,114 @@ def spans(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col:
     return merged
 
 
+def _sorted_marks(found: DataFrame, first: bool) -> DataFrame:
+    """found with gone (a copy of a whole stretch that is to go), mixed (the first of a stretch whose anchor has several),
+    kind (the stretch's number within its anchor) and part.
+
+    Rows are dealt into ranges of the whole order, so that an anchor or a stretch with very many rows fills several
+    ranges, sorted, and marked in one pass that remembers two rows. ``lead`` marks the first row of each stretch.
+    """
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(found.sparkSession)
+    dealt = found.repartitionByRange(parts, "h", "w", "ord", "k1", "k2", "pack").sortWithinPartitions("h", "w", "ord", "k1", "k2", "pack")
+    names = ["h", "w", "k1", "k2", "ord", "pack"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held = np.zeros((0, 6), np.int64)  # the last row, which waits for the one after it
+        before = None  # the row before, its stretch's number, and whether it equals its stretch's first
+        waiting = None  # the first row of an anchor's first stretch, until a second stretch shows up
+
+        def mark(rows: np.ndarray, after: np.ndarray | None):
+            nonlocal before, waiting
+            n = len(rows)
+            previous = np.concatenate([rows[:1] if before is None else before[0][None], rows[:-1]])
+            following = np.concatenate([rows[1:], rows[-1:] if after is None else after[None]])
+            new_h = rows[:, 0] != previous[:, 0]
+            new_w = new_h | (rows[:, 1] != previous[:, 1])
+            if before is None:
+                new_h[0] = new_w[0] = True
+            same_next = (rows[:, :2] == following[:, :2]).all(axis=1)
+            if after is None:
+                same_next[-1] = False
+            changed = ~new_w & (rows != previous).any(axis=1)
+            # running numbers that start afresh at each anchor, and at each stretch
+            stretch, at_h = np.cumsum(new_w), np.maximum.accumulate(np.where(new_h, np.arange(n), -1))
+            kind = np.where(at_h >= 0, stretch - stretch[np.maximum(at_h, 0)] + 1, stretch + (0 if before is None else before[1]))
+            changes, at_w = np.cumsum(changed), np.maximum.accumulate(np.where(new_w, np.arange(n), -1))
+            equal = np.where(at_w >= 0, changes == changes[np.maximum(at_w, 0)], (changes == 0) & (before is not None and before[2]))
+            copies = ~new_w | same_next
+            gone = copies & ~equal if first else copies
+            mixed = new_w & (kind > 1)
+            # first stretches: a second one follows within these rows, or the row waits
+            starts = np.flatnonzero(new_h)
+            if len(starts):
+                reach = np.maximum.reduceat(kind, starts)
+                mixed[starts[reach > 1]] = True
+            out = [np.column_stack([rows, gone, mixed, kind, new_w])]
+            lead = kind[: starts[0]] if len(starts) else kind
+            if waiting is not None and (len(lead) and lead.max() > 1):
+                waiting[7] = 1
+                out.append(waiting[None])
+                waiting = None
+            elif waiting is not None and len(starts):
+                out.append(waiting[None])
+                waiting = None
+            if len(starts) and reach[-1] == 1:  # of the last anchor only one stretch was seen so far
+                last = out[0][starts[-1]].copy()
+                out[0] = np.delete(out[0], starts[-1], axis=0)
+                waiting = last
+            before = (rows[-1], int(kind[-1]), bool(equal[-1]))
+            return np.concatenate(out)
+
+        def batch_of(table: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(table[:, i]) for i in range(6)] + [pa.array(table[:, 6] != 0), pa.array(table[:, 7] != 0), pa.array(table[:, 8]), pa.array(table[:, 9] != 0), pa.array(np.full(len(table), part, np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "gone", "mixed", "kind", "lead", "part"])
+
+        for batch in batches:
+            rows = np.concatenate([held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])])
+            held = rows[-1:]
+            if len(rows) > 1:
+                yield batch_of(mark(rows[:-1], rows[-1]))
+        if len(held):
+            yield batch_of(mark(held, None))
+        if waiting is not None:
+            yield batch_of(waiting[None])
+
+    return dealt.select(*names).mapInArrow(run, "h long, w long, k1 long, k2 long, ord long, pack long, gone boolean, mixed boolean, kind long, lead boolean, part long")
+
+
+def _mended(told: DataFrame, first: bool) -> DataFrame:
+    """Marks of anchors and stretches that reach over a range's end, which each range saw in part.
+
+    There are fewer of them than ranges. What holds for them as a whole is aggregated (combined before the shuffle) and
+    sent along with a row each; all rows stay.
+    """
+    spark, key = told.sparkSession, F.struct("h", "w")
+    ends = told.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("part").collect()  # a row a range
+    near = list(zip(ends, ends[1:], strict=False))
+    anchors_over = sorted({b["lo"]["h"] for a, b in near if a["hi"]["h"] == b["lo"]["h"]})
+    stretches_over = {tuple(b["lo"]) for a, b in near if a["hi"] == b["lo"]}
+    if not anchors_over:
+        return told
+    seen = told.where(F.col("h").isin(anchors_over)).groupBy("h").agg((F.min("w") != F.max("w")).alias("several"), F.count(F.when(F.col("lead"), 1)).alias("leads")).collect()
+    of_anchor = spark.createDataFrame([tuple(r) for r in seen], "h long, several boolean, leads long")
+    me = F.struct("ord", "k1", "k2", "pack")
+    firsts = told.where(F.col("h").isin(sorted({h for h, _ in stretches_over}) or [None]) & F.col("w").isin(sorted({w for _, w in stretches_over}) or [None])).groupBy("h", "w").agg(F.min(me).alias("lo")).collect()
+    of_stretch = spark.createDataFrame([(r["h"], r["w"], tuple(r["lo"])) for r in firsts if (r["h"], r["w"]) in stretches_over], "h long, w long, lo struct<ord:long,k1:long,k2:long,pack:long>")
+    rows = told.join(F.broadcast(of_anchor), "h", "left").join(F.broadcast(of_stretch), ["h", "w"], "left")
+    apart = F.col("lo").isNotNull()
+    lead = F.col("lead") & (~apart | F.coalesce(me == F.col("lo"), F.lit(False)))
+    return rows.select(
+        "h", "w", "k1", "k2", "ord", "pack",
+        F.when(apart, F.coalesce(me != F.col("lo"), F.lit(False)) if first else F.lit(True)).otherwise(F.col("gone")).alias("gone"),
+        F.when(F.col("several").isNotNull(), lead & F.col("several")).otherwise(F.col("mixed")).alias("mixed"),
+        F.coalesce("leads", "kind").alias("kind"),
+    )
+
+
 def _read_runs(joined: DataFrame, length: int, group: int) -> DataFrame:
     """The asked runs' bytes; of an anchor with more than group stretches the hashes of its windows instead."""
     bound_batches(joined.sparkSession)
@@ -320,8 +423,25 @@ def _read_runs(joined: DataFrame, length: int, group: int) -> DataFrame:
 
 
 def _compare_strips(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Spans of the places whose string starts elsewhere among the rows; earlier: among the rows before, by (ord, key, place)."""
-    rows = rows.drop_duplicates(["k1", "k2", "ord", "at", "h"]).sort_values(["ord", "k1", "k2", "at"], kind="stable")
+    """Spans of the places whose string starts elsewhere among the rows; earlier: among the rows before, by (ord, key, place).
+
+    Stretches of different anchors have no window in common, so whole anchors are taken together only as far as one
+    suffix array stays small.
+    """
+    rows = rows.drop_duplicates(["k1", "k2", "ord", "at", "h"]).sort_values(["h", "ord", "k1", "k2", "at"], kind="stable")
+    sizes = rows.groupby("h", sort=True).size().to_numpy()
+    out, start, held = [], 0, 0
+    for n in sizes.tolist():
+        if held and held + n > TOGETHER:
+            out.append(_compare_some(rows.iloc[start : start + held], length))
+            start, held = start + held, 0
+        held += n
+    out.append(_compare_some(rows.iloc[start:], length))
+    return pd.concat(out, ignore_index=True)
+
+
+def _compare_some(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    rows = rows.sort_values(["ord", "k1", "k2", "at"], kind="stable")
     earlier, other = repeated_starts(rows["body"].tolist(), list(range(len(rows))), length)
     who, start, end, flags = [], [], [], []
     for i, (first, any_) in enumerate(zip(earlier, other, strict=True)):
@@ -341,10 +461,10 @@ def _compare_strips(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return out.assign(a=at + start, b=at + end, earlier=np.concatenate([none.astype(bool), *flags]))
 
 
-def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, columns: list[str] | None = None) -> DataFrame:
+def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, columns: list[str] | None = None, group: int = GROUP, gram: int = GRAM) -> DataFrame:
     """docs with the text that is left (bytes that no longer form characters at a cut are dropped); with digest instead:
     n_bytes, n_removed, n_spans and kept_sha256 of the bytes left."""
-    found = spans(docs, keep, id_col, text_col, length)
+    found = spans(docs, keep, id_col, text_col, length, group, gram)
     by = ["k1", "k2", "ord"] if keep == "first" else _KEYS
     joined = _keyed(docs, id_col, text_col).join(found.select(*(F.col(c).alias(f"__{c}") for c in [*by, "s"])), [f"__{c}" for c in by], "left")
     fields = [f for f in docs.schema.fields if f.name != text_col and (columns is None or f.name in columns)]
