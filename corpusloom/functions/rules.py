@@ -75,12 +75,18 @@ def longest(lengths: Column) -> Column:
     return F.coalesce(F.array_max(lengths), F.lit(0))
 
 
-def fluency(output: Column, input_: Column, min_words: int = 110, max_words: int = 280) -> dict[str, Column]:
-    """QF-01, sixteen rules."""
-    out = T.strip(output)
+def facts(df: DataFrame, output: str, words: str = T.WORDS, strip: bool = True, moral: bool = True) -> DataFrame:
+    """What several rules read, each computed once in a step of its own: __out (the trimmed text), __n (its words) and
+    __lengths (words of each sentence; without the moral line unless moral)."""
+    df = df.withColumn("__out", T.strip(F.col(output)) if strip else F.col(output))
+    body = F.col("__out") if moral else T.without_moral(F.col("__out"))
+    return df.withColumns({"__n": F.size(T.words(F.col("__out"), words)), "__lengths": T.word_lengths(T.sentences(body), words)})
+
+
+def fluency(input_: Column, min_words: int = 110, max_words: int = 280) -> dict[str, Column]:
+    """QF-01, sixteen rules over facts(df, output, T.WORDS_APOSTROPHE)."""
+    out, n, lengths = F.col("__out"), F.col("__n"), F.col("__lengths")
     both = F.concat(input_, F.lit("\n"), out)
-    n = F.size(T.words(out, T.WORDS_APOSTROPHE))
-    lengths = T.word_lengths(T.sentences(out), T.WORDS_APOSTROPHE)
     final = out.rlike(FINAL_MORAL)
     return {
         "too_short": n < min_words,
@@ -99,9 +105,9 @@ def fluency(output: Column, input_: Column, min_words: int = 110, max_words: int
 
 
 def synthetic(story: Column, character: Column, setting: Column) -> dict[str, Column]:
-    """QF-02, eleven rules."""
-    clean = T.strip(story)
-    lower, n = F.lower(clean), F.size(T.words(clean))
+    """QF-02, eleven rules over facts(df, story)."""
+    clean, n = F.col("__out"), F.col("__n")
+    lower = F.lower(clean)
     has = T.has_moral(clean)
     bare = T.rstrip(sub_quotes(T.clean_simple(clean)))
     return {
@@ -112,7 +118,7 @@ def synthetic(story: Column, character: Column, setting: Column) -> dict[str, Co
         "contains_bullets": story.rlike(BULLETS),
         "unsafe_terms": lower.rlike(any_word(SYNTHETIC_UNSAFE)),
         "long_single_paragraph": ~clean.contains("\n\n") & (n > 220),
-        "run_on_sentence": longest(T.word_lengths(T.sentences(clean))) > 55,
+        "run_on_sentence": longest(F.col("__lengths")) > 55,
         "incomplete_ending": (clean != "") & ~ends_with_moral(clean) & ~bare.rlike(r"[.!?]$"),
         "character_missing": ~F.contains(lower, keyword(character)),
         "setting_missing": ~F.contains(lower, keyword(setting)),
@@ -134,10 +140,9 @@ def title_like(story: Column) -> Column:
 
 
 def rewrite(story: Column, teaching: Column, character: Column, setting: Column) -> dict[str, Column]:
-    """QF-03, fifteen rules, on text that T.normalize_rewrite has normalised (in a column of its own: rules read it often)."""
-    lower, n = F.lower(story), F.size(T.words(story))
-    parts = T.paragraphs(story)
-    lengths = T.word_lengths(T.sentences(T.without_moral(story)))
+    """QF-03, fifteen rules over facts(df, story, moral=False) of text that T.normalize_rewrite has normalised."""
+    lower, n = F.lower(story), F.col("__n")
+    parts, lengths = T.paragraphs(story), F.col("__lengths")
     count = lambda piece: (F.length(lower) - F.length(F.replace(lower, F.lit(piece), F.lit("")))) / len(piece)
     drift = story.rlike(r"(?U)\b(I|we|my|our)\b") & lower.rlike(r"(?U)\b(lived|was|were|said|asked)\b") & (count(" i ") + count(" my ") + count(" we ") >= 2)
     return {
@@ -159,10 +164,9 @@ def rewrite(story: Column, teaching: Column, character: Column, setting: Column)
     }
 
 
-def validation(story: Column, character: Column, setting: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """QF-04: (fixable, severe)."""
-    clean = T.strip(story)
-    n = F.size(T.words(clean))
+def validation(character: Column, setting: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """QF-04: (fixable, severe) over facts(df, story, moral=False)."""
+    clean, n = F.col("__out"), F.col("__n")
     morals = F.regexp_extract_all(clean, F.lit(T.MORAL_LINE), F.lit(1))
     found = F.size(morals) > 0
     empty = T.strip(F.element_at(morals, -1)) == ""
@@ -172,7 +176,7 @@ def validation(story: Column, character: Column, setting: Column) -> tuple[dict[
         "too_short": n < 80,
         "too_long": n > 700,
         "contains_bullets": clean.rlike(BULLETS),
-        "run_on_sentence": longest(T.word_lengths(T.sentences(T.without_moral(clean)))) > 65,
+        "run_on_sentence": longest(F.col("__lengths")) > 65,
         "paragraph_too_long": longest(T.word_lengths(T.paragraphs(clean))) > 180,
         "character_keyword_missing": lacks(clean, character),
         "setting_keyword_missing": lacks(clean, setting),
@@ -341,9 +345,8 @@ def mentions_moral(c: Column) -> Column:
 
 
 def fluency_score(output: Column, input_: Column) -> Column:
-    """SCR-01: up to ten points."""
-    n = F.size(T.words(output, T.WORDS_APOSTROPHE))
-    average = T.mean(T.word_lengths(T.sentences(output), T.WORDS_APOSTROPHE))
+    """SCR-01: up to ten points, over facts(df, output, T.WORDS_APOSTROPHE, strip=False)."""
+    n, average = F.col("__n"), T.mean(F.col("__lengths"))
     points = [
         (n.between(120, 260), 2),
         (ends_with_moral(output), 3),
@@ -401,15 +404,17 @@ def enhance(df: DataFrame, story: str, teaching: str, character: str, setting: s
 
     Adds enhanced, actions, final_fixable and final_severe; each step reads the column of the one before.
     """
-    slots = F.col(character), F.col(setting)
-    _, severe = validation(F.col(story), *slots)
+    slots, names = (F.col(character), F.col(setting)), df.columns
+    df = facts(df, story, moral=False)
+    _, severe = validation(*slots)
     took = (F.size(reasons(severe)) > 0) & F.col(rewritten).isNotNull() if rewritten else F.lit(False)
     df = df.withColumn("__took", took)
     df = df.withColumn("__draft", F.when(F.col("__took"), F.col(rewritten)).otherwise(F.col(story)) if rewritten else F.col(story))
     df = df.withColumn("enhanced", T.normalize_moral_line(F.col("__draft"), F.col(teaching)))
-    fixable, severe = validation(F.col("enhanced"), *slots)
+    df = facts(df, "enhanced", moral=False)
+    fixable, severe = validation(*slots)
     actions = reasons({"rewrite": F.col("__took"), "moral_postprocess": F.col("enhanced") != T.strip(F.col("__draft"))})
-    return df.withColumns({"actions": actions, "final_fixable": reasons(fixable), "final_severe": reasons(severe)}).drop("__took", "__draft")
+    return df.withColumns({"actions": actions, "final_fixable": reasons(fixable), "final_severe": reasons(severe)}).select(*names, "enhanced", "actions", "final_fixable", "final_severe")
 
 
 def preference_pair(a: Column, b: Column, score_a: Column, score_b: Column, margin: float = 1.0) -> dict[str, Column]:

@@ -17,10 +17,14 @@ def uniform(seed: int | str, *keys: Column, n: int | None = None) -> Column:
 
 
 def lowest(df: DataFrame, seed: int | str, key: str, n: int, name: str = "chosen") -> DataFrame:
-    """Marks the n rows of least digest. Whole prefixes of the digest are chosen at once; only the prefix in which the
-    n-th row falls is ranked, so no task sees more than a 65536th of the rows."""
-    rows = df.withColumn("__d", digest(seed, F.col(key))).withColumn("__p", F.substring("__d", 1, 4))
-    counts = {r["__p"]: r["count"] for r in rows.groupBy("__p").count().collect()}  # 65536 rows at most
+    """Marks the n rows of least (digest, key); keys are unique.
+
+    The n-th row is found over keys alone: counts of digest prefixes (65536 at most) name the prefix in which it falls,
+    and only that prefix's rows, a 65536th of all, are ordered. The rows themselves are then marked by one comparison.
+    """
+    mine = F.struct(digest(seed, F.col(key)).alias("d"), F.col(key).alias("k"))
+    keys = df.select(mine.alias("m")).select("m.*").withColumn("p", F.substring("d", 1, 4)).persist()
+    counts = {r["p"]: r["count"] for r in keys.groupBy("p").count().collect()}
     left, edge = n, None
     for p in sorted(counts):
         if counts[p] > left:
@@ -28,11 +32,15 @@ def lowest(df: DataFrame, seed: int | str, key: str, n: int, name: str = "chosen
             break
         left -= counts[p]
     if edge is None:
-        return rows.withColumn(name, F.lit(True)).drop("__d", "__p")
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__d", key))
-    inside = rows.where(F.col("__p") == edge).withColumn(name, rank <= left)
-    outside = rows.where(F.col("__p") != edge).withColumn(name, F.col("__p") < edge)
-    return inside.unionByName(outside).drop("__d", "__p")
+        keys.unpersist()
+        return df.withColumn(name, F.lit(True))
+    last = keys.where(F.col("p") == edge).orderBy("d", "k").limit(left).agg(F.max(F.struct("d", "k")).alias("m")).first()["m"] if left else None
+    keys.unpersist()
+    d = digest(seed, F.col(key))
+    chosen = F.substring(d, 1, 4) < edge
+    if last is not None:
+        chosen = chosen | (d < last["d"]) & (F.substring(d, 1, 4) == edge) | (d == last["d"]) & (F.col(key) <= F.lit(last["k"]))
+    return df.withColumn(name, chosen)
 
 
 def half_even(x: float) -> int:
@@ -41,6 +49,7 @@ def half_even(x: float) -> int:
 
 def split_train_valid(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """SMP-01: valid gets max(1, round(n * ratio)) rows."""
+    df = df.persist()  # counted, searched and returned
     n = df.count()
     return lowest(df, seed, key, max(1, half_even(n * ratio)), "__v").withColumn("split", F.when(F.col("__v"), "valid").otherwise("train")).drop("__v")
 

@@ -226,7 +226,8 @@ _FLUENCY["repetition"] = "len(list_filter(list_zip(u, u[2:], u[3:]), lambda z: z
 
 @query("qf_fluency_reasons", f"WITH {STORIES} SELECT doc_id, {Q.reasons(_FLUENCY)} AS reasons FROM {_FLUENT}")
 def qf_fluency_reasons(spark, sf):
-    return stories(spark, sf).select("doc_id", F.array_join(R.reasons(R.fluency(F.col("story"), F.col("input"))), ",").alias("reasons"))
+    s = R.facts(stories(spark, sf), "story", T.WORDS_APOSTROPHE)
+    return s.select("doc_id", F.array_join(R.reasons(R.fluency(F.col("input"))), ",").alias("reasons"))
 
 
 _SCORE = f"""CASE WHEN len({Q.words2('story')}) BETWEEN 120 AND 260 THEN 2 ELSE 0 END + CASE WHEN {Q.last_is_moral('story')} THEN 3 ELSE 0 END
@@ -236,7 +237,7 @@ _SCORE = f"""CASE WHEN len({Q.words2('story')}) BETWEEN 120 AND 260 THEN 2 ELSE
 
 @query("scr_fluency_score", f"WITH {STORIES} SELECT lang, score, count(*) AS n FROM (SELECT lang, {_SCORE} AS score FROM stories) GROUP BY lang, score")
 def scr_fluency_score(spark, sf):
-    s = stories(spark, sf).select("lang", R.fluency_score(F.col("story"), F.col("input")).cast("long").alias("score"))
+    s = R.facts(stories(spark, sf), "story", T.WORDS_APOSTROPHE, strip=False).select("lang", R.fluency_score(F.col("story"), F.col("input")).cast("long").alias("score"))
     return s.groupBy("lang", "score").agg(F.count("*").alias("n"))
 
 
@@ -259,7 +260,7 @@ _SYNTHETIC = {
 
 @query("qf_synthetic_reasons", f"WITH {STORIES} SELECT doc_id, {Q.reasons(_SYNTHETIC)} AS reasons FROM (SELECT *, {Q.strip('story')} AS c FROM stories)")
 def qf_synthetic_reasons(spark, sf):
-    return stories(spark, sf).select("doc_id", F.array_join(R.reasons(R.synthetic(F.col("story"), F.col("character"), F.col("setting"))), ",").alias("reasons"))
+    return R.facts(stories(spark, sf), "story").select("doc_id", F.array_join(R.reasons(R.synthetic(F.col("story"), F.col("character"), F.col("setting"))), ",").alias("reasons"))
 
 
 _RW = Q.strip("CASE WHEN contains(lower(r), 'moral:') THEN r ELSE " + Q.rstrip("r") + " || chr(10) || chr(10) || 'Moral: ' || teaching END")
@@ -296,7 +297,7 @@ _REWRITE = {
 def qf_rewrite_reasons(spark, sf):
     c = F.col
     s = stories(spark, sf).withColumn("story", T.normalize_rewrite(c("story"), c("teaching")))
-    return s.select("doc_id", F.array_join(R.reasons(R.rewrite(c("story"), c("teaching"), c("character"), c("setting"))), ",").alias("reasons"))
+    return R.facts(s, "story", strip=False, moral=False).select("doc_id", F.array_join(R.reasons(R.rewrite(c("story"), c("teaching"), c("character"), c("setting"))), ",").alias("reasons"))
 
 
 def validation_sql(c: str) -> tuple[str, str]:
@@ -325,8 +326,8 @@ _FIX, _SEV = validation_sql("c")
 
 @query("qf_validation", f"WITH {STORIES} SELECT doc_id, {_FIX} AS fixable, {_SEV} AS severe FROM (SELECT *, {Q.strip('story')} AS c FROM stories)")
 def qf_validation(spark, sf):
-    fixable, severe = R.validation(F.col("story"), F.col("character"), F.col("setting"))
-    return stories(spark, sf).select("doc_id", F.array_join(R.reasons(fixable), ",").alias("fixable"), F.array_join(R.reasons(severe), ",").alias("severe"))
+    fixable, severe = R.validation(F.col("character"), F.col("setting"))
+    return R.facts(stories(spark, sf), "story", moral=False).select("doc_id", F.array_join(R.reasons(fixable), ",").alias("fixable"), F.array_join(R.reasons(severe), ",").alias("severe"))
 
 
 _FIX2, _SEV2 = validation_sql("fixed")

@@ -16,7 +16,8 @@ from .relational import _JUDGED, _judged
 @query("agg_quality_reasons_by_lang", f"WITH {STORIES}, r AS (SELECT lang, unnest(string_split({Q.reasons(_FLUENCY)}, ',')) AS reason FROM {_FLUENT}) SELECT lang, reason, count(*) AS n FROM r WHERE reason <> '' GROUP BY ALL")
 def agg_quality_reasons_by_lang(spark, sf):
     """The flagship: every rule of the fluency set over every story, counted by language."""
-    s = stories(spark, sf).select("lang", R.reasons(R.fluency(F.col("story"), F.col("input"))).alias("reasons"))
+    s = R.facts(stories(spark, sf), "story", T.WORDS_APOSTROPHE)
+    s = s.select("lang", R.reasons(R.fluency(F.col("input"))).alias("reasons"))
     return stats.reason_counts(s, "reasons", "lang")
 
 

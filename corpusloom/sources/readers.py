@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,8 @@ def epub(spark: SparkSession, path: str) -> DataFrame:
                     rows = spine(bytes(content))
                 except (zipfile.BadZipFile, KeyError):
                     rows = []  # no archive: no pages
-                yield pd.DataFrame({"source": [source.rpartition("/")[2]] * len(rows), "spine_ord": pd.array([n for n, _ in rows], "int32"), "html": [h for _, h in rows]})
+                if rows:
+                    yield pd.DataFrame({"source": [source.rpartition("/")[2]] * len(rows), "spine_ord": np.array([n for n, _ in rows], "int32"), "html": [h for _, h in rows]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "source string, spine_ord int, html string")
