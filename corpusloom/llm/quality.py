@@ -4,9 +4,11 @@ Two zstandard dictionaries hold excerpts of good and of bad labelled text. A tex
 is compressed once with either dictionary, and the normalised difference of the two sizes, with how far the text
 compresses at all, becomes a score by logistic calibration on labelled texts that are in neither dictionary.
 
-Training reads bounded samples, taken by a hash of the document id: ``EXCERPTS`` excerpts of ``EXCERPT`` characters per
-class for the dictionaries, ``CALIBRATED`` whole texts per class for the calibration (their sizes are taken on the
-executors; the driver gets a few numbers a text). Scores are computed for every whole text.
+Training reads bounded samples, taken by a hash of the document id, which also deals a third of the labelled documents to
+the dictionaries and the rest to the calibration: the middles (``MIDDLE`` characters) of ``EXCERPTS`` texts per class, cut
+into excerpts of ``EXCERPT`` characters that fill a dictionary one of each text in turn; and ``CALIBRATED`` whole texts per
+class (their sizes are taken on the executors; the driver gets a few numbers a text). Scores are computed for every whole
+text.
 
 Defined results: a null text counts as empty, an empty text is scored like any other by its (zero) sizes; labels that
 are null or not 0 or 1 are ignored; without labels of both classes every score is 0.5.
@@ -16,14 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from .common import append_columns
 
-EXCERPTS, EXCERPT, CALIBRATED = 400, 400, 2500
-DICTIONARY, BLOCK, LEVEL = 1 << 17, 256, 3
+EXCERPTS, EXCERPT, MIDDLE, CALIBRATED = 400, 400, 4000, 2500
+DICTIONARY, BLOCK, LEVEL, LEAST_PULL = 1 << 17, 256, 3, 0.1
 _SIZES = ["good_size", "bad_size", "plain_size", "raw_size"]
 _compressors: dict[tuple[bytes, bytes], list] = {}
 
@@ -35,6 +37,16 @@ def sampled(labels: DataFrame, label: str, per_class: int, salt: int, id_col: st
     return parts[0].unionByName(parts[1])
 
 
+def fill(middles: list[str], size: int = DICTIONARY) -> bytes:
+    """Excerpts of the texts in turn, those next to a text's middle first, up to size bytes."""
+    pieces = []
+    for n, middle in enumerate(middles):
+        cuts = [middle[i : i + EXCERPT] for i in range(0, len(middle), EXCERPT)]
+        order = sorted(range(len(cuts)), key=lambda i: abs(i + 0.5 - len(cuts) / 2))  # noqa: B023
+        pieces += [(turn, n, cuts[i].encode()) for turn, i in enumerate(order)]
+    return b"\n".join(c for _, _, c in sorted(pieces))[:size]
+
+
 def compressors(good: bytes, bad: bytes) -> list:
     import zstandard as Z
 
@@ -60,26 +72,45 @@ def sizes(text: str | None, tools: list) -> tuple[int, int, int, int]:
     return a, b, len(plain(raw)), len(raw)
 
 
-def features(table: np.ndarray) -> np.ndarray:
-    """From the four sizes: normalised differences, compressibility, length, and their products."""
+def base_features(table: np.ndarray) -> np.ndarray:
+    """From the four sizes: normalised differences, compressibility and length."""
     g, b, plain, n = np.asarray(table, float).reshape(-1, 4).T
-    x = np.stack([(b - g) / (b + g), (b - g) / (n + 16), (g + b) / 2 / (n + 16), plain / (n + 16), np.log(n + 16)], axis=1)
+    return np.stack([(b - g) / (b + g), (b - g) / (n + 16), (g + b) / 2 / (n + 16), plain / (n + 16), np.log(n + 16)], axis=1)
+
+
+def features(table: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
+    """The base features, kept within bounds (texts that a dictionary quotes lie far out), and their products."""
+    x = base_features(table)
+    if bounds is not None:
+        x = np.clip(x, bounds[0], bounds[1])
     pairs = [x[:, i] * x[:, j] for i in range(5) for j in range(i, 5)]
     return np.concatenate([x, np.stack(pairs, axis=1)], axis=1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, prior: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Newton's method, pulled towards prior by ridge: (mean, scale, weights). Without a prior the columns are standardised."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, prior: np.ndarray | None = None, rounds: int = 40, least: float = 0.05, free: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Newton's method, pulled towards prior by ridge * rows + least: (mean, scale, weights). Without a prior the columns
+    are standardised; free: the intercept is not pulled."""
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if prior is None else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
     prior = np.zeros(z.shape[1]) if prior is None else prior
-    w, pull = prior.copy(), ridge * len(y)
+    w, pull = prior.copy(), np.full(z.shape[1], ridge * len(y) + least)
+    if free:
+        pull[0] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        t = z @ v
+        return float(np.logaddexp(0, t).sum() - y @ t + (pull / 2 * (v - prior) ** 2).sum())
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + (pull + 1e-9) * np.eye(len(w)), z.T @ (y - p) - pull * (w - prior))
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (y - p) - pull * (w - prior))
+        size = 1.0
+        while (then := loss(w + size * step)) > now and size > 1e-6:  # a full step may overshoot where classes part well
+            size /= 2
+        if then > now - 1e-9 * abs(now):
             break
+        w, now = w + size * step, then
     return mean, scale, w
 
 
@@ -93,18 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     from pyspark.sql.types import LongType
 
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("length(__text) > 0")
-    # the calibration's sample is drawn first and is hashed otherwise; documents in both serve the dictionaries only
-    chosen = sampled(labels, label, excerpts, 1, id_col)
-    middle = F.greatest(F.lit(1), F.floor((F.length("__text") - EXCERPT) / 2) + 1).cast("int")
-    rows = text.join(F.broadcast(chosen), "__id").select("__id", "__y", F.substring("__text", middle, F.lit(EXCERPT)).alias("cut"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("__id").orderBy("cut"))).where("k = 1").collect()  # 2 * EXCERPTS rows at most
+    for_dictionary = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(3)) == 0
+    chosen = sampled(labels.where(for_dictionary), label, excerpts, 1, id_col)
+    start = F.greatest(F.lit(1), F.floor((F.length("__text") - MIDDLE) / 2) + 1).cast("int")
+    rows = text.join(F.broadcast(chosen), "__id").select("__id", "__y", F.substring("__text", start, F.lit(MIDDLE)).alias("cut"))
+    rows = rows.groupBy("__id").agg(F.max("__y").alias("__y"), F.min("cut").alias("cut")).collect()  # 2 * EXCERPTS rows at most
     rows.sort(key=lambda r: r["__id"])
-    kinds = [b"\n".join(r["cut"].encode() for r in rows if r["__y"] == y)[:DICTIONARY] for y in (1, 0)]
+    kinds = [fill([r["cut"] for r in rows if r["__y"] == y]) for y in (1, 0)]
     if not all(kinds):
         return None
     good, bad = kinds
-    used = [r["__id"] for r in rows]
-    tuned = sampled(labels.where(~F.col(id_col).isin(used)) if len(used) < 5000 else labels, label, calibrated, 2, id_col)
+    tuned = sampled(labels.where(~for_dictionary), label, calibrated, 2, id_col)
     fields = [StructField(n, LongType()) for n in _SIZES]
 
     def make():
@@ -116,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     y = np.array([r["__y"] for r in seen], float)
     if len(set(y)) < 2:
         return None
-    return {"good": good, "bad": bad, "model": fit_logistic(features(np.array([[r[n] for n in _SIZES] for r in seen])), y)}
+    table = np.array([[r[n] for n in _SIZES] for r in seen])
+    bounds = np.quantile(base_features(table), [0.01, 0.99], axis=0)
+    return {"good": good, "bad": bad, "bounds": bounds, "model": fit_logistic(features(table, bounds), y, least=LEAST_PULL, free=True)}
 
 
 def score(docs: DataFrame, model: dict | None, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -129,6 +161,6 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text", keep: lis
         if m is None:
             return lambda texts: [pa.array([0.5] * len(texts), pa.float64())]
         tools = compressors(m["good"], m["bad"])
-        return lambda texts: [pa.array(logistic(features(np.array([sizes(t, tools) for t in texts])), m["model"]), pa.float64())]
+        return lambda texts: [pa.array(logistic(features(np.array([sizes(t, tools) for t in texts]), m["bounds"]), m["model"]), pa.float64())]
 
     return append_columns(docs, text_col, make, [StructField(name, DoubleType())], keep)
