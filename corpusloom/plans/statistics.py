@@ -256,7 +256,7 @@ def agg_weighted_loss(spark, sf):
     return e.groupBy("event_type").agg(num(stats.perplexity("w", "k")).alias("ppl"))
 
 
-@query("scr_advantage", f"SELECT o_orderkey, round((x - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-4), 6) AS advantage FROM (SELECT o_orderkey, x, g || (o_orderkey % 50) AS g FROM {_PAIR}) WINDOW w AS (PARTITION BY g)")
+@query("scr_advantage", f"SELECT o_orderkey, CASE WHEN count(*) OVER w < 2 THEN 0.0 ELSE round((x - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-4), 6) END AS advantage FROM (SELECT o_orderkey, x, g || (o_orderkey % 50) AS g FROM {_PAIR}) WINDOW w AS (PARTITION BY g)")
 def scr_advantage(spark, sf):
     p = _pair(spark, sf).withColumn("g", F.concat("g", (F.col("o_orderkey") % 50).cast("string")))
     return stats.advantage(p, "g", "x").select("o_orderkey", num(F.col("advantage")).alias("advantage"))

@@ -231,8 +231,9 @@ def tok_vocabulary(spark, sf):
     return T.vocabulary(read(spark, sf, "documents"))
 
 
-@query("tok_encode")
+@query("tok_encode", "SELECT doc_id, len(i) AS n, CAST(list_sum(i) AS BIGINT) AS total FROM (SELECT doc_id, list_transform(string_split(left(text, 512), ''), lambda c: unicode(c)) AS i FROM documents)")
 def tok_encode(spark, sf):
     """An injected encoder; here code points, so that no vocabulary is needed."""
     ids = T.encoder(lambda texts: [[ord(c) for c in t] for t in texts], 512)
-    return read(spark, sf, "documents").select("doc_id", ids(F.col("text")).alias("ids"))
+    out = read(spark, sf, "documents").select("doc_id", ids(F.col("text")).alias("ids"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
