@@ -82,12 +82,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Has the file system remove path when the application ends; until then results may still read it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
