@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import packing, quality, queries, simhash, suffix_dedup, toxicity
-from corpusloom.llm.common import shared_dir
+from corpusloom.llm.common import drop_at_end, shared_dir
 
 #: The stages run trained models and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
@@ -68,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(before):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{i}-{name}")
         docs = spark.read.parquet(f"{home}/{i}-{name}")
+    drop_at_end(spark, home)
     return last(spark, docs, sf_dir)
