@@ -55,6 +55,31 @@ def axis_means(df: DataFrame, axes: list[str], *by: str) -> DataFrame:
     return means.withColumn("overall", F.round(sum((F.col(a) for a in axes[1:]), F.col(axes[0])) / len(axes), 3))
 
 
+def candidate_summary(df: DataFrame, by: str, score: str, story: str, actions: str, action: str) -> DataFrame:
+    """AGG-05: mean and median score, stories with text, rows with any action, and with one given action."""
+    return df.groupBy(by).agg(
+        F.avg(score).alias("mean"), F.percentile(score, 0.5).alias("median"), F.count(F.when(F.trim(story) != "", 1)).alias("non_empty"),
+        F.count(F.when(F.size(actions) > 0, 1)).alias("with_actions"), F.count(F.when(F.array_contains(actions, action), 1)).alias("with_action"),
+    )
+
+
+def distinct_share(tokens: Column, n: int) -> Column:
+    """AGG-12 for one text: distinct over all n-grams, zero without any."""
+    grams = T.ngrams(tokens, n)
+    return F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(0.0)
+
+
+def evaluate_rows(df: DataFrame, story: str, raw: str) -> DataFrame:
+    """SCR-13: adds the judge's axes and overall, distinct_1 and distinct_2 (four decimals) and flesch (one; 0 if blank)."""
+    from corpusloom.functions import parse as P
+
+    scores, names = P.parse_scores(F.col(raw)), df.columns
+    df = df.withColumns({**{k: scores[k] for k in [*P.AXES, "overall"]}, "__t": T.tokens(F.col(story))})
+    ease = F.when(T.strip(F.col(story)) != "", F.round(flesch(F.col(story)), 1)).otherwise(0.0)
+    df = df.withColumns({"distinct_1": F.round(distinct_share(F.col("__t"), 1), 4), "distinct_2": F.round(distinct_share(F.col("__t"), 2), 4), "flesch": ease})
+    return df.select(*names, *P.AXES, "overall", "distinct_1", "distinct_2", "flesch")
+
+
 def percentile(c: Column | str, q: float) -> Column:
     """AGG-06: linear between neighbours at (n - 1) q."""
     return F.percentile(c, q)

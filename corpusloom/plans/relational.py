@@ -318,6 +318,7 @@ def smp_step_batches(spark, sf):
 
 @query("rnk_sort_key", f"SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, {_KEY}, doc_id) AS rank FROM documents")
 def rnk_sort_key(spark, sf):
+    """RNK-01: by score, then key."""
     d = read(spark, sf, "documents").select("doc_id", "n_chars", dedup.story_key(F.col("text")).alias("key"))
     return ordered.ranked(d, [F.desc("n_chars"), F.col("key"), F.col("doc_id")]).select("doc_id", "rank")
 

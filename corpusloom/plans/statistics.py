@@ -94,6 +94,7 @@ def agg_coverage(spark, sf):
 
 @query("agg_by_intervention", f"WITH {_JUDGED} SELECT candidate_id, prompt_id % 3 AS intervention, count(*) AS n, round(avg(overall), 6) AS mean FROM judged GROUP BY ALL")
 def agg_by_intervention(spark, sf):
+    """AGG-10: a group without rows has no row."""
     j = joins.unblind(*_judged(spark, sf))
     return j.groupBy("candidate_id", (F.col("prompt_id") % 3).alias("intervention")).agg(F.count("*").alias("n"), num(F.avg("overall")).alias("mean"))
 
@@ -242,11 +243,13 @@ def agg_human_eval(spark, sf):
 
 @query("agg_corpus_shares", f"WITH {STORIES} SELECT round(avg(CAST(contains(lower(story), 'license') AS INT)), 6) AS phrase_share, round(avg(CAST(contains(input, 'Teaching:') AS INT)), 6) AS teaching_share FROM stories")
 def agg_corpus_shares(spark, sf):
+    """AGG-30."""
     return stories(spark, sf).agg(num(stats.share(R.has_phrase(F.col("story"), "license"))).alias("phrase_share"), num(stats.share(F.contains("input", F.lit("Teaching:")))).alias("teaching_share"))
 
 
 @query("agg_eval_means", "SELECT o_orderstatus AS model, round(avg(o_orderkey % 10), 6) AS ov, round(avg(o_custkey % 10), 6) AS adh FROM orders GROUP BY 1")
 def agg_eval_means(spark, sf):
+    """AGG-31."""
     return read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("model")).agg(num(F.avg(F.col("o_orderkey") % 10)).alias("ov"), num(F.avg(F.col("o_custkey") % 10)).alias("adh"))
 
 
@@ -280,3 +283,33 @@ def scr_verdict_table(spark, sf):
 def series_training_log(spark, sf):
     e = read(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("value") / 2).alias("grad_norm"))
     return stats.training_series(e, "step", ["loss", "grad_norm"])
+
+
+@query(
+    "agg_candidate_summary",
+    """SELECT o_orderstatus AS candidate, round(avg(o_custkey % 11), 6) AS mean, round(quantile_cont(CAST(o_custkey % 11 AS DOUBLE), 0.5), 6) AS median, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS non_empty, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS with_actions, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS with_action FROM orders GROUP BY 1""",
+)
+def agg_candidate_summary(spark, sf):
+    k = F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    o = read(spark, sf, "orders").select(F.col("o_orderstatus").alias("candidate"), (F.col("o_custkey") % 11).alias("score"), F.when(k % 5 == 0, " ").otherwise("x").alias("story"), F.when(k % 3 == 0, none).when(k % 3 == 1, F.array(F.lit("moral_postprocess"))).otherwise(F.array(F.lit("moral_postprocess"), F.lit("rewrite"))).alias("actions"))
+    out = stats.candidate_summary(o, "candidate", "score", "story", "actions", "rewrite")
+    return out.withColumn("mean", num(F.col("mean"))).withColumn("median", num(F.col("median")))
+
+
+_ONE = "CASE WHEN len(g) > 0 THEN round(len(list_distinct(g)) / len(g), 4) ELSE 0 END"
+
+
+@query(
+    "scr_evaluate_rows",
+    f"""WITH a AS (SELECT doc_id, {Q.tokens('text')} AS t, {Q.words2('text')} AS w, greatest(1, len({Q.sentences('text')})) AS s FROM documents),
+    b AS (SELECT *, list_transform(list_zip(t, t[2:], true), lambda z: z[1] || ' ' || z[2]) AS g2 FROM a)
+    SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN doc_id % 9 + 1 ELSE 0 END AS grammar, {_ONE.replace('g)', 't)')} AS distinct_1, {_ONE.replace('g)', 'g2)')} AS distinct_2,
+      CASE WHEN len(w) > 0 THEN round(206.835 - 1.015 * len(w) / s - 84.6 * list_sum({_SYL}) / len(w), 1) ELSE 0 END AS flesch FROM b""",
+)
+def scr_evaluate_rows(spark, sf):
+    from .judging import _raw
+
+    d = read(spark, sf, "documents").select("doc_id", "text", _raw().alias("raw"))
+    out = stats.evaluate_rows(d, "text", "raw")
+    return out.select("doc_id", F.col("grammar").cast("long").alias("grammar"), "distinct_1", "distinct_2", "flesch")

@@ -68,6 +68,13 @@ def sha_manifest(spark: SparkSession, path: str, skip: str = r"(?i)/(\.cache|__p
     return files.where(~F.col("path").rlike(skip)).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def zip_folder(folder: str, archive: str) -> str:
+    """SNK-08: a local folder of finished files as one archive (on the driver, for fixtures to hand around)."""
+    import shutil
+
+    return shutil.make_archive(archive.removesuffix(".zip"), "zip", folder)
+
+
 def sse(event: Column) -> Column:
     """SNK-10: a struct as a server-sent event."""
     return F.concat(F.lit("data: "), F.to_json(event), F.lit("\n\n"))
