@@ -104,39 +104,37 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tup
     return hashes[at], span_hashes(sums, first, last + length) ^ mix((at - first).astype(np.uint64)), at, first, last
 
 
-def suffix_order(data: np.ndarray, reach: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes sorted by their first reach symbols, and ranks by fewer symbols, twice as many each time."""
+def suffix_order(data: np.ndarray, reach: int, every: bool = True) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes sorted by their first reach symbols, and ranks by fewer symbols, twice as many each time (or the last only)."""
     n = len(data)
-    size = 8
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = data
     key = np.zeros(n, np.uint64)
-    base = np.uint64(int(data.max()) + 1)
+    base = int(data.max()) + 1
     levels: list[tuple[int, np.ndarray]] = []
-    span = 1
-    while int(base) ** (span + 1) < 2**63 and span < size:
-        span += 1
-    for k in range(span):
-        key = key * base + wide[k : n + k]
-    done = span
+    done = 1
+    while base ** (done + 1) < 2**63 and done < min(8, reach):
+        done += 1
+    for k in range(done):
+        key *= np.uint64(base)
+        key[: n - k] += data[k:].astype(np.uint64)
     while True:
         order = np.argsort(key)
-        ranks = np.empty(n, np.int64)
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        key = key[order]
+        fresh = np.zeros(n, np.int32)
+        np.cumsum(key[1:] != key[:-1], out=fresh[1:])
+        ranks = np.empty(n, np.int32)
         ranks[order] = fresh
-        levels.append((done, ranks))
+        levels = [*(levels if every else []), (done, ranks)]
         if done >= reach or fresh[-1] == n - 1:
             return order, levels
         step = min(done, reach - done)
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = ranks[step:] + 1
-        key = ranks.astype(np.uint64) * np.uint64(n + 1) + ahead.astype(np.uint64)
+        key = ranks.astype(np.uint64) * np.uint64(n + 1)
+        key[: n - step] += ranks[step:].astype(np.uint64) + np.uint64(1)
         done += step
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
     """Index of the previous smaller value of each, -1 for none, by jumping over found ones."""
-    at = np.arange(len(values)) - 1
+    at = np.arange(len(values), dtype=np.int32) - np.int32(1)
     todo = np.flatnonzero((at >= 0) & (values[np.maximum(at, 0)] > values))
     while len(todo):
         at[todo] = at[at[todo]]
@@ -144,15 +142,33 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
     return at
 
 
-def factors(data: np.ndarray, reach: int, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest next factor of every place, counted up to reach; not exact: those below it as 0."""
+def reaching(data: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the longest previous and the longest next factor reach so many symbols: ``factors`` cut at reach, in a
+    quarter of the memory, as only ranks by reach symbols are kept and compared."""
+    n = len(data)
+    order, [(done, ranks)] = suffix_order(data, reach, False)
+    if done < reach:  # all suffixes differ sooner
+        return np.zeros(n, bool), np.zeros(n, bool)
+    place, ranked = order.astype(np.int32), ranks[order]
+    out = []
+    for values in (place, -place):  # smaller positions come earlier in the text, larger ones later
+        found = np.zeros(n, bool)
+        for turn in (slice(None), slice(None, None, -1)):  # the previous and the next one in suffix order
+            near = nearest_smaller(values[turn])
+            equal = ranked[turn]
+            found[turn] |= (near >= 0) & (equal[np.maximum(near, 0)] == equal)
+        mark = np.zeros(n, bool)
+        mark[order] = found
+        out.append(mark)
+    return out[0], out[1]
+
+
+def factors(data: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of every place, counted up to reach."""
     n = len(data)
     order, levels = suffix_order(data, reach)
-    top, by_top = levels[-1]
 
     def common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        if not exact:  # suffixes that all differ sooner have no rank in common
-            return np.where((j >= 0) & (by_top[i] == by_top[np.maximum(j, 0)]), top if top >= reach else 0, 0)
         total, alive = np.zeros(len(i), np.int64), j >= 0
         i, j = i.copy(), np.where(alive, j, 0)
         whole = dict(levels)
@@ -198,11 +214,11 @@ def repeated_starts(stretches: list[bytes], ranks: list[int], length: int = LENG
     parts, starts, at = [], {}, 0
     for k, i in enumerate(order):
         starts[int(i)] = at
-        parts += [np.frombuffer(stretches[i], np.uint8).astype(np.int64) + len(stretches) + 1, np.array([k + 1])]  # a separator of its own
+        parts += [np.frombuffer(stretches[i], np.uint8).astype(np.int32) + np.int32(len(stretches) + 1), np.array([k + 1], np.int32)]  # a separator of its own
         at += len(stretches[i]) + 1
     data = np.concatenate(parts)
-    previous, following = factors(data, length, exact=False)
-    earlier, other = previous >= length, (previous >= length) | (following >= length)
+    earlier, later = reaching(data, length)
+    other = earlier | later
     cut = [slice(starts[i], starts[i] + len(stretches[i])) for i in range(len(stretches))]
     return [earlier[c] for c in cut], [other[c] for c in cut]
 

@@ -146,8 +146,9 @@ def test_factors(alphabet):
     previous, following = suffix_dedup.factors(d, reach)
     assert previous.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(n)]
     assert following.tolist() == [max((common(i, j) for j in range(i + 1, n)), default=0) for i in range(n)]
-    short, _ = suffix_dedup.factors(d, reach, exact=False)
-    assert ((short >= reach) == (previous >= reach)).all()
+    for cut in (5, 12, reach):
+        earlier, later = suffix_dedup.reaching(d, cut)
+        assert (earlier == (previous >= cut)).all() and (later == (following >= cut)).all()
 
 
 def test_anchor_runs_tile_all_windows():
