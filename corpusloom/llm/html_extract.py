@@ -10,11 +10,15 @@ Scripts, styles, templates and comments hold no text. White space (line breaks w
 character references are decoded, blocks are joined by an empty line.
 
 Defined results: null html counts as empty and gives an empty text; a page without main blocks gives an empty text;
-unclosed tags end where a block of the same kind or their parent ends; a page cut off in a tag ends there.
+unclosed tags end where a block of the same kind or their parent ends, and an unclosed head at the first tag or word that
+does not belong there; a page cut off in a tag ends there; ties between labels go to "not main"; repeated rows are
+extracted alike, an empty table gives no rows, and a long page is read in time that grows with its length. An input column
+named text or n_chars gives way to the result.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import random
 import re
@@ -33,7 +37,9 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SECTIONS = set("article main nav aside footer header form section blockquote figure".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>|<[!?/][^>]*+(?:>|\Z)|[^<]++|<", re.S)
+#: What may stand in a head.
+HEAD = set("base basefont bgsound link meta title noscript noframes style script template head".split())
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -74,13 +80,19 @@ def leaf_blocks(page: str) -> list[tuple[list[str], str, float]]:
         if tag is None:
             chunk = m.group()
             if chunk[0] != "<" or chunk == "<":
+                if quiet and stack[-1][0] == "head" and not chunk.isspace():
+                    close(len(stack) - 1)
                 if not quiet:
                     text = _html.unescape(chunk)
                     parts.append(text)
                     if anchor:
                         linked += len(text)
             continue
+        if not m.group(4):
+            break  # cut off in this tag
         tag = tag.lower()
+        if stack and stack[-1][0] == "head" and tag not in HEAD and (not m.group(1) or tag in ("body", "html", "br")):
+            close(len(stack) - 1)
         if m.group(1):
             if tag in BLOCK:
                 flush()
@@ -113,7 +125,7 @@ def leaf_blocks(page: str) -> list[tuple[list[str], str, float]]:
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}", re.I).search(page, pos)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, pos)
             pos = end.start() if end else n
         stack.append((tag, names))
         quiet += tag in SILENT
@@ -302,14 +314,17 @@ def labelled_pages(count: int = 1000, seed: int = 11) -> list[tuple[str, list[bo
                 body.append(("<table>" + "".join("<tr>" + "".join(block("td", words(1, 4)) for _ in range(3)) + "</tr>" for _ in range(rng.randint(1, 4))) + "</table>", True))
             else:
                 body += side(pick(["div", "aside"]), ["ad", "advert", "related", "share", "promo", "sidebar"], [block("p", prose())])
-        shell = pick(['<article>|</article>'] * 4 + ['<main>|</main>', '<div class="content">|</div>', '<div id="main">|</div>', '<div class="post entry">|</div>', '<section class="story article">|</section>', '<main><article>|</article></main>', '<div class="article-body">|</div>']).split("|")
+        shell = pick(['<article>|</article>'] * 4 + ['|', '<main>|</main>', '<div class="content">|</div>', '<div id="main">|</div>', '<div class="post entry">|</div>', '<section class="story article">|</section>', '<main><article>|</article></main>', '<div class="article-body">|</div>']).split("|")
+        if chance() < 0.06:  # a page that is nothing but its text
+            parts, shell = [], ["", ""]
+        alone = not parts and not shell[0]
         parts += [(shell[0], None), *body, (shell[1], None)]
-        if chance() < 0.35:
+        if not alone and chance() < 0.35:
             texts = [block(pick(["p", "div", "li"]), words(1, 3).title() + pick([": ", " "]) + prose()) for _ in range(rng.randint(1, 5))]
             parts += side(pick(["div", "section", "ol"]), ["comments", "comment", "discussion", "replies", "reader-comments"], [block("h3", "Comments"), *texts])
-        if chance() < 0.35:
+        if not alone and chance() < 0.35:
             parts += side(pick(["aside", "div"]), ["sidebar", "related", "widget", "recommended", "trending"], [block("h3", words(1, 3)), *(block("p", block("a", words(2, 8), ' href="/r"')) for _ in range(rng.randint(1, 5)))])
-        if chance() < 0.85:
+        if not alone and chance() < 0.85:
             texts = [pick(["&copy; ", "© ", ""]) + words(1, 3) + ".example.com" + pick([" &middot; ", " | ", ". "]) + prose()]
             parts += side(pick(["footer", "footer", "footer", "div"]), ["footer", "bottom", "site-footer", "copyright", "legal"], [texts[0] if chance() < 0.6 else block("p", texts[0])], None)
             if parts[-1][0].startswith("<footer") and chance() < 0.7:
@@ -324,6 +339,12 @@ def labelled_pages(count: int = 1000, seed: int = 11) -> list[tuple[str, list[bo
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def default_field() -> Field:
+    """The field trained on ``labelled_pages()``, once a process."""
+    return train(labelled_pages())
+
+
 def extract_page(page: str | None, field: Field) -> str:
     blocks = leaf_blocks(page or "")
     return "\n\n".join(text for (_, text, _), main in zip(blocks, field.label(describe(blocks)), strict=True) if main)

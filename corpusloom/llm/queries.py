@@ -33,9 +33,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .html_extract import extract, labelled_pages, train
+    from .html_extract import default_field, extract
 
-    return extract(_read(spark, sf_dir, "pages"), train(labelled_pages()), keep=["page_id", "url"])
+    return extract(_read(spark, sf_dir, "pages"), default_field(), keep=["page_id", "url"])
 
 
 def learnable(spark: SparkSession, sf_dir: str, modulus: int, aside: int, table: str = "labels") -> DataFrame:
