@@ -1,19 +1,20 @@
 """Operator 2, byte-level BPE encoding and decoding over length-bucketed padded numpy matrices.
 
 Every distinct match of the splitting pattern is one matrix row of byte ids. Each round looks all neighbouring pairs up
-in a hash table, merges every row's leftmost pair of least rank, and moves finished rows out (compaction). Matches over
-``WIDEST`` bytes take the same rounds on one long array, where all copies of the least pair merge at once; that equals
-one at a time where the merged token only takes part in later ranks. Tokens that also take part in earlier ones are
-found when the ranks are read, and merge one at a time.
+in a hash table, merges every row's leftmost pair of least rank, and moves finished rows out (compaction). A match over
+``WIDEST`` bytes is no matrix row, as rounds over it would grow with the square of its length: it is merged in the same
+order over a linked list whose pairs wait in buckets by rank.
 
-Defined results: a null text counts as empty and has no ids; repeated rows are encoded alike; any valid text decodes to
-its own UTF-8 bytes.
+Defined results: a null text counts as empty and has no ids; repeated rows are encoded alike; of pairs with the same rank
+the leftmost merges first; any valid text decodes to its own UTF-8 bytes; a match of any length takes time in proportion
+to it; an empty table gives no rows; an input column with a result's name gives way to the result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +101,6 @@ class RankBPE:
                 if a is not None and (b := get(token[i:])) is not None:
                     pairs.append((a, b, rank))
         table = np.array(pairs, np.int64).reshape(-1, 3)
-        early = table[table[:, 2] < table[:, :2].max(axis=1)]  # pairs that rank before one of their parts
-        self.early = set(early[:, :2].max(axis=1).tolist())
         self.table = PairTable(table[:, 0], table[:, 1], table[:, 2].astype(np.int32))
         self.forget()
 
@@ -139,22 +138,68 @@ class RankBPE:
         return out, lens
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            ranks = self.table.find(ids[:-1], ids[1:])
-            least = ranks.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            if int(least) not in self.early:  # of overlapping pairs every other one, from the left
-                run = np.concatenate([[True], np.diff(at) > 1])
-                at = at[(np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0]
-            else:
-                at = at[:1]
-            ids[at] = least
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids = ids[keep]
-        return ids
+        """The same merges over a linked list of tokens, for matches too long for a matrix row.
+
+        Pairs wait in a bucket for each rank. The least rank's bucket is emptied from left to right; a merge that brings up
+        a lower rank puts the rest of the bucket back first. Every pair enters a bucket once, so time grows with length.
+        """
+        n, absent, get = len(ids), int(NONE), self.ranks.get
+        ranks = self.table.find(ids[:-1], ids[1:])
+        order = np.argsort(ranks, kind="stable")
+        order = order[ranks[order] != NONE]
+        edge = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        buckets = {int(ranks[p[0]]): p.tolist() for p in np.split(order, edge[1:])} if len(order) else {}
+        waiting = sorted(buckets)
+        words = [self.token(i) for i in ids.tolist()]
+        pair, after, before = [*ranks.tolist(), absent], list(range(1, n + 1)), list(range(-1, n - 1))
+        while waiting:
+            rank = heapq.heappop(waiting)
+            places = buckets.pop(rank, None)
+            if places is None:
+                continue
+            places.sort()
+            for k, i in enumerate(places):
+                if pair[i] != rank:
+                    continue  # one of its tokens went into another merge
+                j = after[i]
+                end, word = after[j], words[i] + words[j]
+                words[i], pair[j], after[i] = word, -1, end
+                lower = False
+                pair[i] = absent
+                if end < n:
+                    before[end] = i
+                    found = get(word + words[end], absent)
+                    if found != absent:
+                        pair[i] = found
+                        lower = found < rank
+                        if found in buckets:
+                            buckets[found].append(i)
+                        else:
+                            buckets[found] = [i]
+                            heapq.heappush(waiting, found)
+                start = before[i]
+                if start >= 0:
+                    found = pair[start] = get(words[start] + word, absent)
+                    if found != absent:
+                        lower |= found < rank
+                        if found in buckets:
+                            buckets[found].append(start)
+                        else:
+                            buckets[found] = [start]
+                            heapq.heappush(waiting, found)
+                if lower:
+                    buckets[rank] = places[k + 1 :] + buckets.get(rank, [])
+                    heapq.heappush(waiting, rank)
+                    break
+        left, i = [], 0
+        while i < n:
+            left.append(self.ranks[words[i]])
+            i = after[i]
+        return np.array(left, np.int32)
+
+    def token(self, i: int) -> bytes:
+        a = int(self.token_starts[i])
+        return self.token_bytes[a : a + int(self.token_lens[i])].tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Encodes words that are not yet remembered."""
