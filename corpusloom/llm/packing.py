@@ -10,6 +10,7 @@ once each; an empty table gives no rows; ties in length go by document id, then
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,7 +28,7 @@ CAPACITY = 1024
 GROUP_DOCS = 2048
 END_ID = 0
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, deal long"
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, bool], object] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,14 +38,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load_encoder(path: str):
-    """texts -> lists of ids, as the tokenizers library gives them without special tokens.
+def load_encoder(path: str, special: bool = True):
+    """texts -> lists of ids, as the tokenizers library gives them with add_special_tokens=False.
 
-    A byte-level BPE whose ids follow its merges is run by tiktoken, which is several times faster and gives the same
-    ids; any other vocabulary is run by tokenizers.
+    special: an added token's string in a text is that token, which is the library's own behaviour; otherwise it is
+    ordinary text (``encode_special_tokens``). A byte-level BPE whose ids follow its merges is run by tiktoken, which is
+    several times faster and gives the same ids; any other vocabulary is run by tokenizers.
     """
-    if path in _encoders:
-        return _encoders[path]
+    if (path, special) in _encoders:
+        return _encoders[path, special]
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -55,16 +57,19 @@ def load_encoder(path: str):
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
     ordered = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
     plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and spec.get("normalizer") is None
-    if ordered and plain:
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
-        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _encoders[path] = lambda texts: [encode(t) for t in texts]
+    added = spec.get("added_tokens", [])
+    bare = all(t.get("special") and not (t.get("single_word") or t.get("lstrip") or t.get("rstrip")) for t in added)
+    if ordered and plain and bare:
+        marks = {t["content"]: t["id"] for t in added}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in marks}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
+        encode = functools.partial(own.encode, allowed_special="all", disallowed_special=()) if special else own.encode_ordinary
+        _encoders[path, special] = lambda texts: [encode(t) for t in texts]
     else:
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        _encoders[path] = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-    return _encoders[path]
+        own.encode_special_tokens = not special
+        _encoders[path, special] = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    return _encoders[path, special]
 
 
 def first_fit_decreasing(lengths: Iterable[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
