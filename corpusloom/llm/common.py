@@ -42,6 +42,17 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes) - start
 
 
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores before it as it takes to clash with none of names."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def append_columns(
     df: DataFrame,
     text_col: str,
@@ -54,11 +65,11 @@ def append_columns(
     keep: input columns to carry (all by default). An input column with the name of a new one gives way.
     """
     bound_batches(df.sparkSession)
-    new = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
     schema = StructType(kept + fields)
     names = [f.name for f in kept]
-    src = "__text" if text_col not in names else text_col
+    src = text_col if text_col in names else unused(names, "text")[0]
     frame = df.select(*[df[n] for n in names], *([df[text_col].alias(src)] if src not in names else []))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,11 +86,15 @@ def append_columns(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one if driver and
+    executors are one process, as in tests; else an error, as executors do not see each other's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-    return where
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
 
 
 def drop_at_end(spark: SparkSession, path: str) -> None:
@@ -95,7 +110,16 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     drop_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes settled tables that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # small star: the node and its smaller neighbours are tied to the least of them
         least = settle(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = settle(small, "edges")
+        last, edges = edges, settle(small, "edges")
+        discard(last, low, large, least)  # a round needs the edges of the one before and nothing older
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
