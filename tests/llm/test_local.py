@@ -40,10 +40,12 @@ def test_no_pieces():
 def test_encoder_is_the_tokenizers_library():
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    texts = ["", " ", "Hello  world\n\n\tx's 12345 été 日本 🙂", "<|endoftext|> a", "a" * 3000]
-    assert packing.load_encoder(P.path("byte_bpe_50k.json"))(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    path = P.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["", " ", "Hello  world\n\n\tx's 12345 été 日本 🙂", "<|endoftext|> a", "a <|endoftext|>  <|endoftext|><|endoftext|", "a" * 3000]
+    for special in (True, False):
+        own.encode_special_tokens = not special
+        assert packing.load_encoder(path, special)(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 # 2
@@ -69,6 +71,16 @@ def test_encodes_as_tiktoken(codec, reference):
     assert codec.decode_batch(ids, ends) == [t.encode() for t in texts]
 
 
+def test_long_matches(codec, reference):
+    """Matches beyond the matrices: random, periodic, of one symbol, of scripts whose tokens also take part in lower ranks."""
+    rng = random.Random(6)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ab", "é", "entß", "".join(map(chr, range(0x4E00, 0x9FFF, 7))), "".join(map(chr, range(0x400, 0x4FF)))]
+    texts = ["".join(rng.choices(kinds[i % 6], k=rng.randint(65, 600))) for i in range(240)] + ["".join(rng.choices(kinds[0], k=100_000)), " " * 50_000 + "x", "日本" * 20_000]
+    ids, ends = codec.encode_batch(texts)
+    at = [0, *ends.tolist()]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_forgetting_changes_nothing(codec, reference):
     codec.forget()
     ids, _ = codec.encode_batch(["the quick brown fox"])
@@ -108,6 +120,32 @@ def test_odd_pages_do_not_fail(field, page):
     assert isinstance(html_extract.extract_page(page, field), str)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>x</title><body><p>Hello world.</p></body></html>", ["Hello world."]),
+        ("<head><meta charset=utf-8><p>One.<p>Two.", ["One.", "Two."]),
+        ("<head><script>var p;</script>Words here<p>Two.", ["Words here", "Two."]),
+        ("<p>bye <a href='x", ["bye"]),
+        ("<p>bye <a href='x>y</a> and more", ["bye"]),
+        ("<p>a</p><p cla", ["a"]),
+        ("<p>it <a title=it's href=x>is</a> so", ["it is so"]),
+        ("<!--><p>a<!-- b --!>c", ["ac"]),
+        ("<script>a</scripture></script><p>b", ["b"]),
+        ("<p>1 < 2 and 3 <4", ["1 < 2 and 3 <4"]),
+    ],
+)
+def test_open_heads_and_cut_tags(page, want):
+    assert [t for _, t, _ in html_extract.leaf_blocks(page)] == want
+
+
+def test_pages_of_nothing_but_text():
+    words = "the reader goes on to the next word and the one after"
+    page = "<html><head><title>x</title><body>" + "".join(f"<p>{words.capitalize()} {i}. {words.capitalize()}.</p>" for i in range(4)) + "<p>cut <a href='x"
+    got = html_extract.extract_page(page, html_extract.default_field())
+    assert got.count("\n\n") >= 3 and "<a" not in got and got.startswith("The reader")
+
+
 def test_blocks():
     got = html_extract.leaf_blocks("<body><nav><a href=x>Home</a></nav><article><h1>T &amp;lt;</h1><p>one<br>two<p>thr<b>ee</b><script>var a='<p>';</script></article>")
     assert [t for _, t, _ in got] == ["Home", "T &lt;", "one two", "three"]

@@ -8,6 +8,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe, order_minhash, packing, queries, simhash
 
@@ -46,8 +47,8 @@ def test_names_cover_all_operators():
 
 def test_op1(spark, texts):
     got = queries.op1_packing(spark, SF).collect()
-    encode = packing.load_encoder(P.path("byte_bpe_50k.json"))
-    ids = {i: np.array([*encode([t])[0], 0], "<u4") for i, t in texts.items()}
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
     covered = {i: np.zeros(len(x), int) for i, x in ids.items()}
     ends = {}
     for r in got:
