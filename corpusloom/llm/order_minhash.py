@@ -12,7 +12,9 @@ ranges of ids, each range is read in order once, and the first document of a ran
 neither texts nor ids meet in one place.
 
 Defined results: null counts as empty; an empty text has the fingerprint of the empty k-mer; equal texts have equal
-fingerprints; rows with the same id follow in order of their text; null ids come last; a single row is its own next.
+fingerprints; rows with the same id follow in order of their text, repeated rows one another; null ids come last; a single
+row is its own next; an empty table gives no rows. Ids are whole numbers of up to 64 bits. A text of any length is one
+sketch, in memory of some tens of bytes a character. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,30 +117,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def own_partitions(spark, count: int) -> list[int]:
+    """For each of count partitions a number that Spark's hash partitioning deals to it, so that a range of rows fills a
+    partition of its own. Found among a few times as many small numbers, which are hashed on the executors."""
+    tried, found = 0, {}
+    while len(found) < count:
+        more = count * (len(bin(count)) + 4)
+        at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(count)).alias("at")
+        for r in spark.range(tried, tried + more).groupBy(at).agg(F.min("id").alias("id")).collect():  # a row a partition
+            found.setdefault(r["at"], r["id"])
+        tried += more
+    return [found[i] for i in range(count)]
+
+
 def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = rows.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    marks = sorted({int(m) for m in marks or []}, reverse=True)  # one id a range
-    # range 0 holds the largest ids; a null id goes to the last range
-    part = F.when(F.col("doc_id").isNull(), len(marks)).otherwise(F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m > F.col("doc_id"))) if marks else F.lit(0)).cast("int")
-    dealt = rows.withColumn("part", part)
+    cuts = [i / ranges for i in range(1, ranges)]
+    marks = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 4 * ranges)))).first()[0] if cuts else None
+    marks = sorted(set(marks or []), reverse=True)  # one id a range
+    # range 0 holds the largest ids, a null id goes to the last range; a range's number, how many marks lie above the id, is
+    # found by halving
+    part = F.lit(0)
+    if marks:
+        above, steps = F.array(*map(F.lit, marks)), [1 << k for k in reversed(range(len(marks).bit_length()))]
+        further = lambda at, step: F.when((at + step <= len(marks)) & (F.element_at(above, F.least(at + step, F.lit(len(marks)))) > F.col("doc_id")), at + step).otherwise(at)
+        part = F.when(F.col("doc_id").isNull(), len(marks)).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further))
+    dealt = rows.withColumn("part", part.cast("int"))
     heads = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a row a range
     if not heads:
         return _result(rows.limit(0).select("doc_id").withColumn("part", F.lit(0)), docs, id_col)
     filled = sorted(heads)
     before = {b: a for a, b in zip(filled, filled[1:], strict=False)}
     before[filled[0]] = filled[-1]  # after the last comes the first
+    of_range = lambda values, kind: F.element_at(F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>"), F.col("part") + 1)
+    count = filled[-1] + 1
     # the head of a range also goes to the end of the range before it
-    where = F.create_map(*[F.lit(x) for b in filled for x in (b, before[b])])
-    top = F.create_map(*[F.lit(x) for b in filled for x in (b, heads[b])]) if any(heads[b] is not None for b in filled) else None
-    is_head = (F.col("doc_id").eqNullSafe(top[F.col("part")])) if top is not None else F.lit(True)
-    targets = F.when(is_head, F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("ghost")), F.struct(where[F.col("part")].alias("p"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("ghost"))))
-    sent = dealt.withColumn("t", F.explode(targets)).select("doc_id", "text", F.col("t.p").alias("part"), F.col("t.ghost").alias("ghost"))
-    sent = sent.repartition(ranges, "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text")
+    is_head = F.col("doc_id").eqNullSafe(of_range([heads.get(i) for i in range(count)], "long"))
+    here, there = F.struct(F.col("part").alias("p"), F.lit(0).alias("ghost")), F.struct(of_range([before.get(i) for i in range(count)], "int").alias("p"), F.lit(1).alias("ghost"))
+    sent = dealt.withColumn("t", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here)))).select("doc_id", "text", F.col("t.p").alias("part"), F.col("t.ghost").alias("ghost"))
+    sent = sent.withColumn("seat", of_range(own_partitions(spark, max(ranges, count))[:count], "int"))
+    sent = sent.repartition(max(ranges, count), "seat").drop("seat").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text")
     return _result(sent, docs, id_col)
 
 
