@@ -255,11 +255,37 @@ def test_bit_sliced_distances():
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
-def test_two_blocks_agree():
+@pytest.mark.parametrize("count", [0, 1 << 24, 1 << 30])
+def test_enough_blocks_agree(count):
     rng = random.Random(4)
+    blocks = simhash.blocks_of(count)
+    assert blocks[0][0] == 0 and blocks[-1][1] == 64 and all(a[1] == b[0] for a, b in zip(blocks, blocks[1:]))
     for _ in range(300):
         bits = rng.sample(range(64), 4)
-        assert sum(not any(a <= b < e for b in bits) for a, e in simhash.BLOCKS) >= 2
+        assert sum(not any(a <= b < e for b in bits) for a, e in blocks) >= len(blocks) - 4
+
+
+def test_wide_prints_follow_similarity():
+    """Distances of texts of a known similarity lie within the radius, and nearly all of them meet under a key."""
+    rng = random.Random(3)
+    near = met = 0
+    keys = simhash.sampled_bits(0.8, 100_000)
+    for _ in range(60):
+        a = [rng.getrandbits(64) for _ in range(360)]
+        b = a[:320] + [rng.getrandbits(64) for _ in range(40)]  # 320 of 400
+        one, other = (np.concatenate([simhash.fold(simhash.spread(np.array(x, np.uint64), k), np.array([len(x)])) for k in range(4)]) for x in (a, b))
+        near += int(np.bitwise_count(one ^ other).sum()) <= simhash.radius_of(0.8)
+        one, other = (np.unpackbits(x.view(np.uint8), bitorder="little") for x in (one, other))
+        met += any((one[k] == other[k]).all() for k in keys)
+    assert near >= 54 and met >= 54
+
+
+def test_wide_bit_sliced_distances():
+    rng = np.random.RandomState(5)
+    base = rng.randint(0, 2**63, (9, 4), np.int64).astype(np.uint64)
+    values = np.concatenate([base ^ np.packbits((rng.rand(9, 256) < share), axis=1).view(np.uint64) for share in (0, 0.05, 0.1, 0.15, 0.2)])
+    i, j = simhash.within(values, values, 40)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(45) for b in range(45) if int(np.bitwise_count(values[a] ^ values[b]).sum()) <= 40}
 
 
 # 8

@@ -198,8 +198,8 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("tile", [2048, 5])
-def test_links_against_all_pairs(spark, tile):
+@pytest.mark.parametrize("tile, count", [(2048, 0), (5, 0), (2048, 1 << 24), (5, 1 << 30)])
+def test_links_against_all_pairs(spark, tile, count):
     rng = np.random.RandomState(tile)
     base = rng.randint(-(2**63), 2**63 - 1, 15, np.int64)
     values = {int(b) for b in base}
@@ -207,7 +207,8 @@ def test_links_against_all_pairs(spark, tile):
         for k in range(9):
             values.add(int((np.array([b]).view(np.uint64) ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, k, False)))).view(np.int64)[0]))
     values = sorted(values)
-    links = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), tile=tile).collect()]
+    prints = spark.createDataFrame([(v, False, 1) for v in values], "fp long, none boolean, least long")
+    links = [(r["a_fp"], r["b_fp"]) for r in simhash.links(prints, tile=tile, blocks=simhash.blocks_of(count)).collect()]
     near = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1") <= 4
     root = {v: v for v in values}
 
@@ -236,6 +237,23 @@ def test_simhash_edges(spark):
     assert simhash.components(docs(spark, [])).count() == 0
 
 
+def test_simhash_at_a_similarity(spark):
+    """Texts of a Jaccard similarity of 0.8 or more over five-word shingles are grouped, others apart; ids may be null."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [[word() for _ in range(300)] for _ in range(20)]
+    near = [[*b[:150], word(), *b[151:260], word(), *b[261:]] for b in base]  # similarity 0.93
+    far = [[*b[:60], *(word() for _ in range(240))] for b in base]
+    texts = [" ".join(w) for w in [*base, *near, *far]] + ["", None]
+    d = docs(spark, texts, [*range(20), None, *range(101, 120), *range(200, 220), 500, None])
+    got = {(r["doc_id"], r["text"]): r for r in d.join(simhash.components(d.select("doc_id", "text"), size=5, similarity=0.8).withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i"))).collect()}
+    assert all(got[i + 100, texts[20 + i]]["component_id"] == i for i in range(1, 20))
+    assert all(got[200 + i, texts[40 + i]]["component_id"] == 200 + i for i in range(20)) and got[500, ""]["component_id"] == 500
+    kept = simhash.deduplicate(d, size=5, similarity=0.8).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(20), *range(200, 220), 500]
+    assert simhash.deduplicate(d.limit(0), size=5, similarity=0.8).count() == 0
+
+
 # 8
 
 
@@ -267,7 +285,17 @@ def test_language(spark):
 # 10
 
 
-@pytest.mark.parametrize("ids", [[3, 9, 4, 1, 7, 2, 8, 0, 6, 5], [5, 5, None, 2, 2, 1, 9, 9, None, 4]])
+def test_ranges_have_partitions_of_their_own(spark):
+    for n in (1, 4, 37):
+        seats = order_minhash.own_partitions(spark, n)
+        at = spark.createDataFrame([(i, s) for i, s in enumerate(seats)], "part int, seat int").repartition(n, "seat").select("part", F.spark_partition_id().alias("at")).collect()
+        assert len(at) == n and all(r["part"] == r["at"] for r in at)
+
+
+_FAR = 2**63 - 1
+
+
+@pytest.mark.parametrize("ids", [[3, 9, 4, 1, 7, 2, 8, 0, 6, 5], [5, 5, None, 2, 2, 1, 9, 9, None, 4], [_FAR, _FAR - 1, -_FAR, 0, _FAR - 2, -_FAR - 1, _FAR, None, 2**62, -5]])
 def test_edit_sensitivity(spark, ids):
     got = order_minhash.edit_sensitivity(docs(spark, ODD, ids)).collect()
     rows = sorted(zip(ids, (t or "" for t in ODD)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
