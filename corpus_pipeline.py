@@ -3,6 +3,11 @@
 quality -> toxicity -> SimHash near-dedup -> suffix-array dedup -> packing. All but the last return the columns of
 documents; the last returns the pieces of packed sequences. Models are trained on the rows a stage is given, with the
 labels of the same folder.
+
+Defined results: a null or empty text is scored like any other; it is one near-duplicate group with the others, of which the
+smallest id stays; rows equal in id and text are copies, of which one stays; rows with a null id stay as far as their texts
+do; an empty table gives no rows; texts of any length are read whole; columns beyond those of documents are carried along,
+whatever their names, and none is overwritten but text and n_chars, which follow the cuts.
 """
 
 from __future__ import annotations
@@ -13,27 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import packing, quality, queries, simhash, suffix_dedup, toxicity
-from corpusloom.llm.common import drop_at_end, shared_dir
+from corpusloom.llm.common import drop_at_end, shared_dir, unused
 
 #: The stages run trained models and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
+#: Jaccard similarity from which documents are near duplicates.
+NEAR = 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    model = quality.train(docs, queries.learnable(spark, sf_dir, 5, 0))
-    return quality.score(docs, model, name="__score").where(F.col("__score") >= queries.QUALITY_FROM).select(*docs.columns)
+    model, [score] = quality.train(docs, queries.learnable(spark, sf_dir, 5, 0)), unused(docs.columns, "score")
+    return quality.score(docs, model, name=score).where(F.col(score) >= queries.QUALITY_FROM).select(*docs.columns)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
-    model = toxicity.train(docs, queries.learnable(spark, sf_dir, 3, 1))
-    return toxicity.score(docs, model, name="__score").where(F.col("__score") < queries.TOXIC_FROM).select(*docs.columns)
+    model, [score] = toxicity.train(docs, queries.learnable(spark, sf_dir, 3, 1)), unused(docs.columns, "score")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < queries.TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.deduplicate(docs).select(*docs.columns)
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.deduplicate(docs, size=simhash.WIDE_SHINGLE, similarity=NEAR).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
