@@ -1,7 +1,8 @@
-"""Model calls as injected functions (UDF-01 to 03): nothing here reaches a network."""
+"""Model calls as injected functions (UDF-01 to 03, 05): nothing here reaches a network."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -20,8 +21,25 @@ def generator(fn: Callable[[str], str]) -> Callable[[Column], Column]:
     return call
 
 
-def judge(df: DataFrame, prompt: str, story: str, fn: Callable[[str, str], str], attempts: int = 8) -> DataFrame:
-    """UDF-02, 03: adds raw (what fn(story, prompt) said) and status; a call that fails attempts times is an error row."""
+def translator(fn: Callable[[str], str]) -> Callable[[Column], Column]:
+    """UDF-05: fn(text) -> text in another language; blank texts are not sent, and a text that fn fails on stays as it is."""
+
+    def one(text: str) -> str:
+        if not text.strip():
+            return text
+        try:
+            return fn(text)
+        except Exception:  # noqa: BLE001  whatever an injected call raises
+            return text
+
+    return generator(one)
+
+
+def judge(df: DataFrame, prompt: str, story: str, fn: Callable[[str, str], str], attempts: int = 8, wait: float = 0.05, longest: float = 10.0) -> DataFrame:
+    """UDF-02, 03: adds raw (what fn(story, prompt) said) and status; a call that fails attempts times is an error row.
+
+    After a failure it waits, twice as long each time, longest seconds at most.
+    """
     schema = StructType([*df.schema.fields, StructField("raw", StringType()), StructField("status", StringType())])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,6 +55,8 @@ def judge(df: DataFrame, prompt: str, story: str, fn: Callable[[str, str], str],
                         if not left:
                             raw.append(None)
                             status.append("error")
+                        else:
+                            time.sleep(min(longest, wait * 2 ** (attempts - 1 - left)))
             yield batch.assign(raw=raw, status=status)
 
     return df.mapInPandas(run, schema)

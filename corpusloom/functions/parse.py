@@ -188,6 +188,41 @@ def heading_segments(page: Column, heading: str = "h2", cut: bool = True) -> Col
     return F.transform(F.arrays_zip(titles.alias("topic"), sections.alias("s")), lambda r: F.struct(r["topic"].alias("topic"), (T.cut_footer(text(r["s"])) if cut else text(r["s"])).alias("body")))
 
 
+#: How numbered titles and chapter lines start.
+NUMBERED_TITLE = r"^\d+\s*[-–.]\s*.+"
+CHAPTER_LINE = r"(?iu)^chương\s+\d+"
+
+
+def classed_paragraphs(page: Column, name: str) -> Column:
+    """SRC-07, 08: the texts of the paragraphs whose class starts with name, blank ones dropped."""
+    found = F.regexp_extract_all(page, F.lit(rf'(?s)<p[^>]*class="{name}[^"]*"[^>]*>(.*?)</p>'), F.lit(1))
+    return F.filter(F.transform(found, lambda x: T.strip_tags(x)), lambda x: x != "")
+
+
+def numbered_stories(paragraphs: Column, title: str = NUMBERED_TITLE, chapter: str = CHAPTER_LINE) -> Column:
+    """SRC-07: an array of (title, body): a numbered line opens a story, a chapter line ends one, what follows neither goes."""
+    none, lines = F.lit(None).cast("string"), F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<struct<title:string,body:string>>").alias("done"), none.alias("title"), lines.alias("body"))
+
+    def flush(s: Column) -> Column:
+        return F.when(s["title"].isNotNull() & (F.size(s["body"]) > 0), F.concat(s["done"], F.array(F.struct(s["title"].alias("title"), F.array_join(s["body"], "\n").alias("body"))))).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        opens = x.rlike(title) & ~x.rlike(chapter)
+        fresh = F.struct(flush(s).alias("done"), F.when(opens, x).alias("title"), lines.alias("body"))
+        more = F.struct(s["done"].alias("done"), s["title"].alias("title"), F.when(s["title"].isNotNull(), F.concat(s["body"], F.array(x))).otherwise(s["body"]).alias("body"))
+        return F.when(opens | x.rlike(chapter), fresh).otherwise(more)
+
+    return F.aggregate(paragraphs, start, step, flush)
+
+
+def titled_story(title: Column, paragraphs: Column) -> Column:
+    """SRC-08: the paragraphs after the first one that holds the title, or is part of it, one a line."""
+    marks = F.transform(paragraphs, lambda x, i: F.when(F.contains(x, title) | F.contains(title, x), i + 1))
+    at = F.array_min(F.filter(marks, lambda i: i.isNotNull()))
+    return F.array_join(F.when(at.isNotNull(), F.slice(paragraphs, at + 1, F.greatest(F.size(paragraphs) - at, F.lit(0)))).otherwise(F.array().cast("array<string>")), "\n")
+
+
 @F.pandas_udf(StringType())
 def balanced_object(s: pd.Series) -> pd.Series:
     """PRS-15: the first balanced JSON object of free text, minding strings and escapes (a Python worker: a bracket scan

@@ -55,10 +55,14 @@ def ranked_pairs(rows: DataFrame, rank: str, item: str, value: str) -> DataFrame
     return a.join(b, item).where(F.col("left") < F.col("right"))
 
 
-def gram_overlap(grams: DataFrame) -> DataFrame:
-    """JOI-06: shared grams of document pairs over an inverted index; grams: doc, gram, c."""
-    b = grams.select(F.col("doc").alias("other"), "gram", F.col("c").alias("d"))
-    return grams.join(b, "gram").where("doc < other").groupBy("doc", "other").agg(F.sum(F.least("c", "d")).alias("shared"))
+def gram_overlap(docs: DataFrame, doc: str, n: int, by: str) -> DataFrame:
+    """JOI-06: by, doc, shared, total: what each document shares with all later ones of by, one row a document.
+
+    The pairs of documents meet in an inverted index over n-grams and are summed there, not made: see ``stats.shared_grams``.
+    """
+    from .stats import shared_grams
+
+    return shared_grams(docs, doc, n, by)
 
 
 def paired_difference(rows: DataFrame, pair: str, model: str, left: str, right: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import kept
+
 
 def digest(seed: int | str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
@@ -49,7 +51,7 @@ def half_even(x: float) -> int:
 
 def split_train_valid(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """SMP-01: valid gets max(1, round(n * ratio)) rows."""
-    df = df.persist()  # counted, searched and returned
+    df = kept(df)  # counted, searched and returned
     n = df.count()
     return lowest(df, seed, key, max(1, half_even(n * ratio)), "__v").withColumn("split", F.when(F.col("__v"), "valid").otherwise("train")).drop("__v")
 
@@ -112,7 +114,17 @@ def combinations(dims: list[DataFrame], seed: int, n: int) -> DataFrame:
 
 
 def batches(df: DataFrame, key: str, steps: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """SMP-09: for each step the size rows of least digest of (step, key)."""
-    both = df.crossJoin(F.broadcast(steps.select("step")))
-    w = Window.partitionBy("step").orderBy(digest(seed, F.col("step"), F.col(key)), key)
-    return both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= size)
+    """SMP-09: for each step the size rows of least digest of (step, key), numbered k.
+
+    Each step keeps size rows a partition and orders those alone; steps are those of one run, so a thousand at most.
+    """
+    wanted = [r["step"] for r in steps.select("step").distinct().orderBy("step").limit(1001).collect()]
+    if len(wanted) > 1000:
+        raise ValueError("draw batches for a thousand steps at a time")
+    out = None
+    for step in wanted:
+        order = [digest(seed, F.lit(step), F.col(key)), F.col(key)]
+        few = df.orderBy(*order).limit(size).withColumn("step", F.lit(step).cast(steps.schema["step"].dataType))
+        few = few.withColumn("k", F.row_number().over(Window.orderBy(*order)))  # size rows
+        out = few if out is None else out.unionByName(few)
+    return df.limit(0).withColumns({"step": F.lit(None).cast(steps.schema["step"].dataType), "k": F.lit(1)}) if out is None else out

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+from .ordered import below, kept
 from .sampling import uniform
 
 
@@ -85,18 +88,19 @@ def percentile(c: Column | str, q: float) -> Column:
     return F.percentile(c, q)
 
 
-def bootstrap_ci(df: DataFrame, ord_col: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, ord_col: str, value: str, rounds: int = 10_000, seed: int = 42) -> DataFrame:
     """AGG-07: 95 % interval of the mean over resamples with replacement.
 
     The draw of a round is a digest of (seed, round, draw) modulo n; values are numbered 0 .. n - 1 in order of ord_col.
     For samples of judged items, not for corpora: rounds * n draws are made, dealt over the executors.
     """
+    from .ordered import ranked
+
     n = df.count()
-    numbered = df.select(F.col(ord_col).alias("__o"), F.col(value).cast("double").alias("__v"))
-    numbered = numbered.withColumn("i", F.row_number().over(Window.orderBy("__o")) - 1)
+    numbered = ranked(df.select(F.col(ord_col).alias("__o"), F.col(value).cast("double").alias("__v")), ["__o"], "__n").select((F.col("__n") - 1).alias("i"), "__v")
     draws = df.sparkSession.range(rounds * n).select(F.floor(F.col("id") / n).alias("round"), (F.col("id") % n).alias("draw"))
     draws = draws.withColumn("i", uniform(seed, F.col("round"), F.col("draw"), n=n))
-    means = draws.join(numbered.select("i", "__v"), "i").groupBy("round").agg(F.avg("__v").alias("m"))
+    means = draws.join(numbered, "i").groupBy("round").agg(F.avg("__v").alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("*").alias("rounds"))
 
 
@@ -126,21 +130,25 @@ def distinct_n(tokens: DataFrame, by: str, n: int, name: str) -> DataFrame:
     return gram_table(tokens, by, n).groupBy(by).agg((F.count("*") / F.sum("c")).alias(name))
 
 
-def self_bleu(docs: DataFrame, doc: str, n: int, by: str | None = None) -> DataFrame:
-    """AGG-13: mean over document pairs i < j of clipped n-gram precision of i against j, without a pair enumeration.
+def shared_grams(docs: DataFrame, doc: str, n: int, by: str) -> DataFrame:
+    """JOI-06: by, doc, shared (n-grams in common with each later document of by, counted with multiplicity and summed over
+    them), total (the document's own n-grams). All pairs i < j count, none is enumerated: the result has a row a document.
 
-    For a gram with counts c of documents in order, the sum over later documents of least(c_i, c_j) is needed; pairs only
-    meet through grams they share. docs: doc (ordered), t (array of tokens), by.
+    least(a, b) is the sum over levels k of [a >= k][b >= k], so every document counts, for each of its grams and levels,
+    the later ones that reach the level. docs: doc (ordered, unique), t (array of tokens), by.
     """
+    from .ordered import later_in_key
+
+    grams = docs.select(by, doc, F.explode(F.transform(T.ngrams(F.col("t"), n), lambda g: F.array_join(g, "\u0001"))).alias("gram")).groupBy(by, doc, "gram").agg(F.count("*").alias("c"))
+    levels = grams.select(by, doc, F.xxhash64("gram").alias("h"), "gram", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"))
+    return later_in_key(levels, [by, "h", "gram", "k"], doc).groupBy(by, doc).agg(F.sum("later").alias("shared"), F.count("*").alias("total"))
+
+
+def self_bleu(docs: DataFrame, doc: str, n: int, by: str | None = None) -> DataFrame:
+    """AGG-13: mean over document pairs i < j of clipped n-gram precision of i against j, from ``shared_grams``."""
     docs = docs.withColumn("__by", F.col(by) if by else F.lit(""))
-    grams = docs.select("__by", doc, F.explode(F.transform(T.ngrams(F.col("t"), n), lambda g: F.array_join(g, "\u0001"))).alias("gram")).groupBy("__by", doc, "gram").agg(F.count("*").alias("c"))
-    totals = grams.groupBy("__by", doc).agg(F.sum("c").alias("total"))
-    # least(a, b) = sum over levels k of [a >= k][b >= k]: for each gram and level, every document counts the later ones
-    levels = grams.select("__by", doc, "gram", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"))
-    later = F.count("*").over(Window.partitionBy("__by", "gram", "k").orderBy(F.desc(doc)).rowsBetween(Window.unboundedPreceding, -1))
-    shared = levels.withColumn("later", later).groupBy("__by", doc).agg(F.sum("later").alias("shared"))
     sizes = docs.groupBy("__by").agg(F.count("*").alias("docs"))
-    summed = shared.join(totals, ["__by", doc]).groupBy("__by").agg(F.sum(F.col("shared") / F.col("total")).alias("s"))
+    summed = shared_grams(docs, doc, n, "__by").groupBy("__by").agg(F.sum(F.col("shared") / F.col("total")).alias("s"))
     pairs = F.col("docs") * (F.col("docs") - 1) / 2
     out = sizes.join(summed, "__by", "left").select("__by", F.when(pairs > 0, F.coalesce("s", F.lit(0.0)) / pairs).otherwise(F.lit(0.0)).alias("self_bleu"), "docs")
     return out.withColumnRenamed("__by", by) if by else out.drop("__by")
@@ -167,20 +175,67 @@ def kappa(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(n == 0, 0.0).when(den == 0, 1.0).otherwise(1.0 - num / den).alias("kappa"), n.alias("n"))
 
 
-def tau(df: DataFrame, x: str, y: str, ord_col: str, *by: str) -> DataFrame:
-    """AGG-16: Kendall's tau-b over pairs of rows of a group; 0 for fewer than two rows or constant columns.
-
-    Pairs are made within groups of judged items of one pair of judges, which are short.
+def discordant(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> int:
+    """Weighted number of pairs with x rising and y falling, by merging runs twice as long each time."""
+    order = np.lexsort((y, x))
+    y, c, at, total, width = y[order], c[order], np.arange(len(x)), 0, 0
+    while len(x) > 1 << width:
+        block, right = at >> (width + 1), at >> width & 1
+        by = np.lexsort((1 - right, -y, block))
+        weight = np.where(right[by] == 0, c[by], 0)
+        above = np.cumsum(weight) - weight
+        starts = np.flatnonzero(np.diff(block[by], prepend=-1))
+        above -= np.repeat(above[starts], np.diff(np.append(starts, len(by))))
+        total += int((above * np.where(right[by] == 1, c[by], 0)).sum())
+        width += 1
+    return total
+
+
+def tau(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
+    """AGG-16: Kendall's tau-b over the rows of a group; 0 for fewer than two rows or constant columns.
+
+    No pairs are made. Rows are counted by (x, y) first. Both columns are cut into ranges, a value that alone fills a range
+    being one of its own; pairs in different ranges of both columns follow from the counts of range pairs, pairs within a
+    range of x, or in different ranges of x and the same of y, are counted by merging inside that range.
     """
-    a = df.select(*by, F.col(ord_col).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = df.select(*by, F.col(ord_col).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    both = a.join(b, [*by]).where("i < j") if by else a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").where("i < j")
-    dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    out = both.groupBy(*by).agg(F.sum(dx * dy).alias("s"), F.count(F.when(dx != 0, 1)).alias("nx"), F.count(F.when(dy != 0, 1)).alias("ny"))
-    groups = df.groupBy(*by).agg(F.count("*").alias("n"))
-    joined = groups.join(out, [*by], "left") if by else groups.crossJoin(out)
-    value = F.when((F.coalesce("nx", F.lit(0)) == 0) | (F.coalesce("ny", F.lit(0)) == 0), 0.0).otherwise(F.col("s") / F.sqrt(F.col("nx").cast("double") * F.col("ny")))
-    return joined.select(*by, value.alias("tau"), "n")
+    keys = list(by) or ["__all"]
+    df = df.select(*by, *([F.lit(0).alias("__all")] if not by else []), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    cells = df.groupBy(*keys, "x", "y").agg(F.count("*").alias("c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(0.5))
+    ends = cells.groupBy(*keys).agg(*(F.percentile_approx(v, cuts, F.lit(10 * parts)).alias(f"{v}_cuts") for v in "xy"))
+    placed = cells.join(ends, keys).withColumns({f"{v}_cuts": F.array_sort(F.array_distinct(f"{v}_cuts")) for v in "xy"})
+    placed = placed.withColumns({f"{v}_below": below(F.col(f"{v}_cuts"), parts, F.col(v)) for v in "xy"})
+    # an odd range number is that of a cut itself
+    range_of = lambda v: (2 * F.col(f"{v}_below") + F.coalesce((F.get(f"{v}_cuts", F.col(f"{v}_below")) == F.col(v)).cast("int"), F.lit(0))).alias(f"{v}_range")
+    placed = kept(placed.select(*keys, "x", "y", "c", range_of("x"), range_of("y")))
+
+    def inside(columns: list[str], other: str):
+        """Discordant pairs within each range of columns[-1]; with other, of different ranges of it."""
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields if f.name in keys) + ", d long"
+
+        def count(rows: pd.DataFrame) -> pd.DataFrame:
+            first = (rows[other] if other else rows["x"]).to_numpy()
+            return rows.iloc[:1][keys].assign(d=discordant(first, rows["y"].to_numpy(), rows["c"].to_numpy()))
+
+        several = placed.where(f"{columns[-1]} % 2 = 0")  # a range of one value has no discordant pair of its own
+        return several.groupBy(*columns).applyInPandas(count, schema)
+
+    within = inside([*keys, "x_range"], "").unionByName(inside([*keys, "y_range"], "x_range"))
+    boxes = placed.groupBy(*keys, "x_range", "y_range").agg(F.sum("c").cast("long").alias("c"))
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:  # at most as many rows as pairs of ranges
+        return rows.iloc[:1][keys].assign(d=discordant(rows["x_range"].to_numpy(), rows["y_range"].to_numpy(), rows["c"].to_numpy()))
+
+    parted = boxes.groupBy(*keys).applyInPandas(across, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema.fields if f.name in keys) + ", d long")
+    falling = within.unionByName(parted).groupBy(*keys).agg(F.sum("d").alias("d"))
+    pairs = lambda n: n * (n - 1) / 2
+    ties = lambda *v: placed.groupBy(*keys, *v).agg(F.sum("c").alias("n")).groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("t_" + "".join(v)), F.sum("n").alias("n"))
+    joined = falling.join(ties("x"), keys).join(ties("y").drop("n"), keys).join(ties("x", "y").drop("n"), keys)
+    every = pairs(F.col("n"))
+    nx, ny = every - F.col("t_x"), every - F.col("t_y")
+    s = every - F.col("t_x") - F.col("t_y") + F.col("t_xy") - 2 * F.col("d")
+    return joined.select(*by, F.when((nx == 0) | (ny == 0), 0.0).otherwise(s / F.sqrt(nx * ny)).alias("tau"), F.col("n").cast("long").alias("n"))
 
 
 def perplexity(nll: Column | str, tokens: Column | str) -> Column:

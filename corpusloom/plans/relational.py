@@ -62,9 +62,9 @@ def ded_prefix500(spark, sf):
     return dedup.first_by(docs(spark, sf), dedup.prefix_key(F.col("text"))).select("doc_id")
 
 
-@query("ded_null_is_a_key", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY CASE WHEN doc_id % 4 = 0 THEN NULL ELSE substr(text, 1, 20) END ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+@query("ded_null_is_a_key", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY CASE WHEN doc_id % 4 = 0 THEN NULL ELSE sha256(text) END ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def ded_null_is_a_key(spark, sf):
-    key = F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 20))
+    key = F.when(F.col("doc_id") % 4 != 0, F.sha2("text", 256))
     return dedup.first_by(docs(spark, sf), key).select("doc_id")
 
 
@@ -86,13 +86,13 @@ def ded_priority_union(spark, sf):
 
 @query(
     "ded_harvest",
-    """WITH b AS (SELECT doc_id AS ord, left(text, 30) AS prompt, md5(text) AS story, (doc_id % 10) + 0.5 AS score FROM documents WHERE doc_id % 2 = 0),
-    p AS (SELECT doc_id AS ord, left(text, 30) AS prompt, md5(text) AS chosen, (doc_id % 11) + 0.0 AS score_chosen FROM documents),
+    """WITH b AS (SELECT doc_id AS ord, text AS prompt, md5(text) AS story, (doc_id % 10) + 0.5 AS score FROM documents WHERE doc_id % 2 = 0),
+    p AS (SELECT doc_id AS ord, text AS prompt, md5(text) AS chosen, (doc_id % 11) + 0.0 AS score_chosen FROM documents),
     k AS (SELECT prompt, max_by(story, ord) AS story, max_by(score, ord) AS score, 'sft_best' AS src FROM b WHERE score >= 5 GROUP BY prompt)
     SELECT * FROM k UNION ALL SELECT prompt, min_by(chosen, ord), min_by(score_chosen, ord), 'dpo_chosen' FROM p WHERE score_chosen >= 5 AND prompt NOT IN (SELECT prompt FROM k) GROUP BY prompt""",
 )
 def ded_harvest(spark, sf):
-    d = docs(spark, sf).withColumn("prompt", F.substring("text", 1, 30)).withColumn("story", F.md5("text"))
+    d = docs(spark, sf).withColumn("prompt", F.col("text")).withColumn("story", F.md5("text"))
     best = d.where("doc_id % 2 = 0").select("ord", "prompt", "story", (F.col("doc_id") % 10 + 0.5).alias("score"))
     pairs = d.select("ord", "prompt", F.col("story").alias("chosen"), (F.col("doc_id") % 11 + 0.0).alias("score_chosen"))
     return dedup.harvest(best, pairs, 5.0)
@@ -108,15 +108,14 @@ def ded_prompt_ids(spark, sf):
 
 @query(
     "joi_failure_rows",
-    """WITH b AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'success' END AS status, left(text, 40) AS story FROM documents),
-    r AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'error' ELSE 'success' END AS status, left(text, 40) || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END AS story FROM documents WHERE doc_id % 2 = 0)
+    """WITH b AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'success' END AS status, text AS story FROM documents),
+    r AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'error' ELSE 'success' END AS status, text || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END AS story FROM documents WHERE doc_id % 2 = 0)
     SELECT b.id, trim(b.story) <> trim(r.story) AS changed, quality = 0 AS has_reasons FROM b JOIN r USING (id) JOIN labels ON labels.doc_id = b.id WHERE b.status = 'success' AND r.status = 'success' AND (quality = 0 OR trim(b.story) <> trim(r.story))""",
 )
 def joi_failure_rows(spark, sf):
     d, i = docs(spark, sf), F.col("doc_id")
-    short = F.substring("text", 1, 40)
-    base = d.select(i.alias("id"), F.when(i % 7 == 0, "error").otherwise("success").alias("status"), short.alias("story"))
-    repair = d.where(i % 2 == 0).select(i.alias("id"), F.when(i % 5 == 0, "error").otherwise("success").alias("status"), F.concat(short, F.when(i % 3 == 0, "!").otherwise("")).alias("story"))
+    base = d.select(i.alias("id"), F.when(i % 7 == 0, "error").otherwise("success").alias("status"), F.col("text").alias("story"))
+    repair = d.where(i % 2 == 0).select(i.alias("id"), F.when(i % 5 == 0, "error").otherwise("success").alias("status"), F.concat("text", F.when(i % 3 == 0, "!").otherwise("")).alias("story"))
     metrics = read(spark, sf, "labels").select(i.alias("id"), R.reasons({"bad": F.col("quality") == 0}).alias("reasons"))
     return joins.failure_rows(base, repair, metrics).select("id", "changed", (F.size("reasons") > 0).alias("has_reasons"))
 
@@ -171,16 +170,16 @@ def joi_pairwise_win_tie_loss(spark, sf):
 
 @query(
     "joi_gram_overlap",
-    f"""WITH t AS (SELECT doc_id, {Q.tokens('text')} AS t FROM documents WHERE n_chars < 300),
-    g AS (SELECT doc_id, unnest(list_transform(list_zip(t, t[2:], true), lambda z: z[1] || ' ' || z[2])) AS gram FROM t WHERE len(t) > 1),
-    c AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY ALL)
-    SELECT a.doc_id AS doc, b.doc_id AS other, CAST(sum(least(a.c, b.c)) AS BIGINT) AS shared FROM c a JOIN c b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL""",
+    f"""WITH t AS (SELECT doc_id, lang, {Q.tokens('text')} AS t FROM documents),
+    g AS (SELECT doc_id, lang, unnest(list_transform(list_zip(t, t[2:], true), lambda z: z[1] || ' ' || z[2])) AS gram FROM t WHERE len(t) > 1),
+    c AS (SELECT doc_id, lang, gram, count(*) AS c FROM g GROUP BY ALL),
+    p AS (SELECT a.doc_id, sum(least(a.c, b.c)) AS shared FROM c a JOIN c b ON a.gram = b.gram AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT lang, doc_id, CAST(coalesce(any_value(shared), 0) AS BIGINT) AS shared, CAST(sum(c) AS BIGINT) AS total FROM c LEFT JOIN p USING (doc_id) GROUP BY lang, doc_id""",
 )
 def joi_gram_overlap(spark, sf):
-    """Shared bigrams of short documents: the pairs that share one are the result."""
-    t = read(spark, sf, "documents").where("n_chars < 300").select(F.col("doc_id").alias("doc"), T.tokens(F.col("text")).alias("t"))
-    grams = t.select("doc", F.explode(F.transform(T.ngrams(F.col("t"), 2), lambda g: F.array_join(g, " "))).alias("gram")).groupBy("doc", "gram").agg(F.count("*").alias("c"))
-    return joins.gram_overlap(grams)
+    """Bigrams that each document shares with all later ones of its language."""
+    t = read(spark, sf, "documents").select("doc_id", "lang", T.tokens(F.col("text")).alias("t"))
+    return joins.gram_overlap(t, "doc_id", 2, "lang")
 
 
 @query("joi_paired_difference", f"WITH {_JUDGED} SELECT a.prompt_id, a.overall - b.overall AS difference FROM judged a JOIN judged b ON a.prompt_id = b.prompt_id AND a.candidate_id = 'e2' AND b.candidate_id = 'e5'")
@@ -217,12 +216,6 @@ def joi_grid(spark, sf):
     return joins.grid(read(spark, sf, "benchmark").select("item_id"), read(spark, sf, "region").select("r_name"), uses)
 
 
-@query("src_union_files", "SELECT lang, count(*) AS n FROM (SELECT lang FROM documents UNION ALL SELECT lang FROM documents WHERE doc_id % 2 = 0) GROUP BY lang")
-def src_union_files(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "lang")
-    return d.unionByName(d.where("doc_id % 2 = 0")).groupBy("lang").agg(F.count("*").alias("n"))
-
-
 @query("set_operations", "SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS only_left, count(DISTINCT d.doc_id) AS shared FROM documents d JOIN labels l USING (doc_id)")
 def set_operations(spark, sf):
     d, lab = read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels").select("doc_id")
@@ -380,10 +373,10 @@ def win_moving_average(spark, sf):
     return ordered.moving_average(read(spark, sf, "events"), "event_type", "event_id", "value").select("event_id", num(F.col("smooth")).alias("smooth"))
 
 
-@query("win_forward_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations")
+@query("win_forward_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations")
 def win_forward_fill(spark, sf):
     c = read(spark, sf, "conversations")
-    return ordered.forward_fill(c, "conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)), "asked").select("conv_id", "turn", "asked")
+    return ordered.forward_fill(c, "conv_id", "turn", F.when(F.col("role") == "user", F.col("text")), "asked").select("conv_id", "turn", "asked")
 
 
 @query("win_marker_groups", "SELECT conv_id, grp, count(*) AS n FROM (SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM conversations) GROUP BY ALL")

@@ -76,14 +76,15 @@ def agg_median_p95(spark, sf):
 
 @query(
     "agg_bootstrap_ci",
-    f"""WITH v AS (SELECT row_number() OVER (ORDER BY l.doc_id) - 1 AS i, CAST(l.doc_id * 7 % 10 + 1 AS DOUBLE) AS v FROM labels l WHERE toxic = 1), n AS (SELECT count(*) AS n FROM v),
-    d AS (SELECT r.r, {Q.uniform('42', 'r.r', 'k.k')} % n AS i FROM range(200) r(r), (SELECT unnest(range((SELECT n FROM n))) AS k) k, n), m AS (SELECT r, avg(v) AS m FROM d JOIN v USING (i) GROUP BY r)
-    SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS rounds FROM m""",
+    f"""WITH v AS (SELECT row_number() OVER (ORDER BY s_nationkey) - 1 AS i, avg(s_acctbal) AS v FROM supplier GROUP BY s_nationkey), n AS (SELECT count(*) AS n FROM v),
+    d AS (SELECT r.r, {Q.uniform('42', 'r.r', 'k.k')} % n AS i FROM range(10000) r(r), (SELECT unnest(range((SELECT n FROM n))) AS k) k, n), m AS (SELECT r, avg(v) AS m FROM d JOIN v USING (i) GROUP BY r)
+    SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, count(*) AS rounds FROM m""",
 )
 def agg_bootstrap_ci(spark, sf):
-    v = read(spark, sf, "labels").where("toxic = 1").select("doc_id", (F.col("doc_id") * 7 % 10 + 1).alias("v"))
-    out = stats.bootstrap_ci(v, "doc_id", "v", 200)
-    return out.select(num(F.col("low")).alias("low"), num(F.col("high")).alias("high"), "rounds")
+    """Nations stand in for the prompts of a benchmark, their suppliers' mean balance for the judged scores."""
+    v = read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("v"))
+    out = stats.bootstrap_ci(v, "s_nationkey", "v")
+    return out.select(num(F.col("low"), 4).alias("low"), num(F.col("high"), 4).alias("high"), "rounds")
 
 
 @query("agg_coverage", "SELECT lang, round(avg(CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'und') AS INT) + CAST(n_chars > 1000 AS INT)), 6) AS covered, round(avg(CAST(contains(text, 'the') AND n_chars > 1000 AS INT)), 6) AS both_rate FROM documents GROUP BY lang")
@@ -146,15 +147,13 @@ def agg_kappa(spark, sf):
     return stats.kappa(_pair(spark, sf), "x", "y", "g").withColumn("kappa", num(F.col("kappa")))
 
 
-_TAU = f"""WITH p AS (SELECT o_orderkey, x, y, g || (o_orderkey % 97) AS g FROM {_PAIR}), q AS (SELECT a.g, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM p a JOIN p b ON a.g = b.g AND a.o_orderkey < b.o_orderkey),
-  s AS (SELECT g, sum(dx * dy) AS s, count(*) FILTER (WHERE dx <> 0) AS nx, count(*) FILTER (WHERE dy <> 0) AS ny FROM q GROUP BY g), n AS (SELECT g, count(*) AS n FROM p GROUP BY g)
-  SELECT g, round(CASE WHEN coalesce(nx, 0) = 0 OR coalesce(ny, 0) = 0 THEN 0 ELSE s / sqrt(CAST(nx AS DOUBLE) * ny) END, 6) AS tau, n FROM n LEFT JOIN s USING (g)"""
+_TAU = f"""WITH c AS (SELECT g, x, y, count(*) AS c FROM {_PAIR} GROUP BY ALL), q AS (SELECT a.g, sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s, sum(CASE WHEN a.x <> b.x THEN a.c * b.c ELSE 0 END) / 2 AS nx, sum(CASE WHEN a.y <> b.y THEN a.c * b.c ELSE 0 END) / 2 AS ny FROM c a JOIN c b USING (g) GROUP BY a.g)
+  SELECT g, round(CASE WHEN nx = 0 OR ny = 0 THEN 0 ELSE s / (sqrt(nx) * sqrt(ny)) END, 6) AS tau, CAST((SELECT sum(c) FROM c WHERE c.g = q.g) AS BIGINT) AS n FROM q"""
 
 
 @query("agg_kendall_tau", _TAU)
 def agg_kendall_tau(spark, sf):
-    p = _pair(spark, sf).withColumn("g", F.concat("g", (F.col("o_orderkey") % 97).cast("string")))
-    return stats.tau(p, "x", "y", "o_orderkey", "g").withColumn("tau", num(F.col("tau")))
+    return stats.tau(_pair(spark, sf), "x", "y", "g").withColumn("tau", num(F.col("tau")))
 
 
 @query(

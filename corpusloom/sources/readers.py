@@ -102,7 +102,12 @@ def spine(archive: bytes) -> list[tuple[int, str]]:
 
 
 def epub(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: source, spine_ord, html: one row a page of every archive (a Python worker opens the archives)."""
+    """SRC-06: source, spine_ord, html: one row a page of every archive of a folder."""
+    return epub_pages(spark.read.format("binaryFile").load(path))
+
+
+def epub_pages(files: DataFrame) -> DataFrame:
+    """SRC-06 on archives in a table (path, content): a Python worker opens them; what is no archive has no pages."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -114,15 +119,19 @@ def epub(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame({"source": [source.rpartition("/")[2]] * len(rows), "spine_ord": np.array([n for n, _ in rows], "int32"), "html": [h for _, h in rows]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "source string, spine_ord int, html string")
+    return files.select("path", "content").mapInPandas(run, "source string, spine_ord int, html string")
 
 
 def page_folder(spark: SparkSession, path: str, skip: list[str] | None = None) -> DataFrame:
-    """SRC-08: unpacked pages of a book, in order of their names: source, spine_ord, html; names in skip are left out."""
+    """SRC-08: unpacked pages of a folder of books."""
+    files = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("source"), F.col("value").alias("html"))
+    return in_spine_order(files, skip)
+
+
+def in_spine_order(files: DataFrame, skip: list[str] | None = None) -> DataFrame:
+    """SRC-08: source, spine_ord, html: the pages of each book in order of their names; names in skip are left out."""
     from pyspark.sql import Window
 
-    files = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("source"), F.col("value").alias("html"))
     if skip:
         files = files.where(~F.col("name").isin(skip))
     return files.withColumn("spine_ord", F.row_number().over(Window.partitionBy("source").orderBy("name")) - 1).select("source", "spine_ord", "html")

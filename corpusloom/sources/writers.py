@@ -20,7 +20,9 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     spark = df.sparkSession
     if _exists(spark, path):
         df = df.join(spark.read.schema(df.schema).json(path).select(*keys).distinct(), keys, "left_anti")
-    df.dropDuplicates(keys).write.mode("append").json(path)
+    row = F.struct(*df.columns)
+    once = df.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("__row"))  # of rows with one key always the same
+    once.select("__row.*").write.mode("append").json(path)
 
 
 def manifest(df: DataFrame, split: str = "split", source: str = "source") -> DataFrame:
@@ -49,9 +51,11 @@ def report(df: DataFrame, source: str, words: str, score: str, reasons: str, top
     return figures, top_per_group(rejected, source, [F.desc("n"), "reason"], top)
 
 
-def markdown(df: DataFrame, limit: int = 200) -> str:
-    """SNK-06: a small result as a table of text."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, limit: int = 10_000) -> str:
+    """SNK-06: a small result as a table of text; one of more rows than limit is refused, never cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write them as CSV or JSON lines")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
     return "\n".join([line(df.columns), "|" + "---|" * len(df.columns), *(line(r) for r in rows)])
 
@@ -68,11 +72,21 @@ def sha_manifest(spark: SparkSession, path: str, skip: str = r"(?i)/(\.cache|__p
     return files.where(~F.col("path").rlike(skip)).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def zip_folder(folder: str, archive: str) -> str:
-    """SNK-08: a local folder of finished files as one archive (on the driver, for fixtures to hand around)."""
-    import shutil
-
-    return shutil.make_archive(archive.removesuffix(".zip"), "zip", folder)
+def zip_folder(spark: SparkSession, path: str, archive: str) -> str:
+    """SNK-08: a folder of finished files as one archive, for hand-outs: an archive is written by one process, so the driver
+    takes the files one by one from the executors. Both paths may lie in any store that Spark reaches."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").orderBy("path")
+    target = spark._jvm.org.apache.hadoop.fs.Path(archive)
+    out = spark._jvm.java.util.zip.ZipOutputStream(target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True))
+    try:
+        top = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+        for row in files.toLocalIterator():
+            out.putNextEntry(spark._jvm.java.util.zip.ZipEntry(row["path"].partition(top)[2]))
+            out.write(bytearray(row["content"]))
+            out.closeEntry()
+    finally:
+        out.close()
+    return archive
 
 
 def sse(event: Column) -> Column:

@@ -151,3 +151,12 @@ def test_segments(spark):
     assert [(r["topic"], r["body"]) for r in got] == [("", "Mở đầu"), ("Một", "thân é"), ("Hai", "bé")]
     page = "<h2>A</h2><p>x é</p><p>y é</p><h2>B</h2><p>z é</p>"
     assert [(r["topic"], r["body"]) for r in one(spark, P.heading_segments(F.lit(page)))] == [("A", "x é\ny é"), ("B", "z é")]
+
+
+def test_numbered_stories(spark):
+    page = '<p class="c">before</p><p class="c">1 - One</p><p class="c2">a <b>b</b></p><p>no class</p><p class="c"> </p><p class="c">c</p><p class="c">2. Empty</p><p class="c">CHƯƠNG 2</p><p class="c">lost</p><p class="x">3. other class</p><p class="c">3. Last</p><p class="c">z</p>'
+    got = one(spark, P.numbered_stories(P.classed_paragraphs(F.lit(page), "c")))
+    assert [(r["title"], r["body"]) for r in got] == [("1 - One", "a b\nc"), ("3. Last", "z")]
+    assert one(spark, P.titled_story(F.lit("One"), P.classed_paragraphs(F.lit(page), "c"))).split("\n")[0] == "a b"
+    assert one(spark, P.titled_story(F.lit("absent"), P.classed_paragraphs(F.lit(page), "c"))) == ""
+    assert one(spark, P.numbered_stories(P.classed_paragraphs(F.lit(""), "c"))) == []

@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.operators import dedup, joins, ordered, ranking, sampling, sets, stats
+from corpusloom.operators import dedup, invariants, joins, ordered, ranking, sampling, sets, stats
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import jobs
 
@@ -86,12 +86,64 @@ def test_kappa_tau(spark):
     assert k([1, 5, 9], [1, 5, 9]) == 1.0
     assert k([8, 9, 7, 10], [7, 9, 8, 10]) == pytest.approx(0.8)
     assert k([5, 5], [5, 5]) == 1.0
-    t = lambda a, b: stats.tau(rows(spark, list(zip(range(len(a)), a, b)), "i long, x double, y double"), "x", "y", "i").first()["tau"]
+    t = lambda a, b: stats.tau(rows(spark, list(zip(a, b)), "x double, y double"), "x", "y").first()["tau"]
     assert t([1.0, 2.0, 3.0], [1.0, 2.0, 3.0]) == 1.0
     assert t([1.0, 2.0, 3.0], [3.0, 2.0, 1.0]) == -1.0
     assert t([1.0, 1.0], [2.0, 3.0]) == 0.0
 
 
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_tau_against_all_pairs(spark, parts):
+    """Ties, a value that half the rows hold, groups of one row, and nulls, which are left out."""
+    rng = random.Random(parts)
+    data = [("a", rng.choice([1.0, 1.0, rng.random(), rng.randint(0, 5)]), rng.choice([2.0, rng.random(), rng.randint(0, 5)])) for _ in range(300)]
+    data += [("b", i, -i * i + 20 * i) for i in range(60)] + [("c", 1.0, 1.0), ("d", 1.0, 2.0), ("d", 1.0, 3.0), ("a", None, 1.0)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["g"]: (r["tau"], r["n"]) for r in stats.tau(rows(spark, [(g, x if x is None else float(x), float(y)) for g, x, y in data], "g string, x double, y double"), "x", "y", "g").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for g in "abcd":
+        p = [(x, y) for k, x, y in data if k == g and x is not None]
+        sign = lambda v: (v > 0) - (v < 0)
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for a, b in itertools.combinations(p, 2)]
+        nx, ny = sum(dx != 0 for dx, _ in pairs), sum(dy != 0 for _, dy in pairs)
+        want = sum(dx * dy for dx, dy in pairs) / math.sqrt(nx * ny) if nx and ny else 0.0
+        assert got[g] == (pytest.approx(want), len(p))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_later_in_key(spark, parts):
+    """Keys over several ranges, ranges of one key, and single rows."""
+    data = [("hot", None if i % 2 else "x", i) for i in range(200)] + [(f"k{i % 7}", "y", i) for i in range(60)] + [("one", "z", 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {(r["a"], r["b"], r["i"]): r["later"] for r in ordered.later_in_key(rows(spark, data, "a string, b string, i long"), ["a", "b"], "i").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == {(a, b, i): sum(x == a and y == b and j > i for x, y, j in data) for a, b, i in data}
+
+
+def test_batches(spark):
+    import hashlib
+
+    got = {(r["step"], r["k"]): r["id"] for r in sampling.batches(spark.range(50), "id", spark.range(3).withColumnRenamed("id", "step"), 4).collect()}
+    for step in range(3):
+        order = sorted(range(50), key=lambda i: (hashlib.md5(f"42|{step}|{i}".encode()).hexdigest(), i))
+        assert [got[step, k + 1] for k in range(4)] == order[:4]
+    assert sampling.batches(spark.range(5), "id", spark.range(0).withColumnRenamed("id", "step"), 4).count() == 0
+
+
+def test_invariants(spark):
+    df = rows(spark, [("a", "x", 3), ("b", " ", 11), ("b", None, None)], "id string, text string, score int")
+    got = invariants.check(df, "id", ["id", "text", "judge"], ["text"], {"score": (1, 10)}, 3).first()
+    assert (got["n_rows"], got["n_keys"], got["n_blank"], got["n_outside"], got["missing"], got["unexpected"], got["ok"]) == (3, 2, 2, 2, ["judge"], ["score"], False)
+    good = df.limit(1)
+    assert invariants.check(good, "id", ["id", "text", "score"], ["text"], {"score": (1, 10)}, 1).first()["ok"]
+    assert not invariants.check(good, "id", ["id", "text", "score"], rows=2).first()["ok"]
+    assert invariants.check(df.limit(0), "id", ["id", "text", "score"], ["text"], rows=0).first()["ok"]
+
+
 def test_distinct_and_self_bleu(spark):
     tokens = lambda texts: rows(spark, [(i, "g", t.split()) for i, t in enumerate(texts)], "doc long, g string, t array<string>")
     d = lambda texts: stats.distinct_n(tokens(texts), "g", 1, "d").first()["d"]
@@ -170,6 +222,11 @@ def test_dataset_and_manifests(spark, tmp_path):
     (tmp_path / "f" / "README.md").write_bytes(b"no")
     found = writers.sha_manifest(spark, str(tmp_path / "f")).collect()
     assert [(r["bytes"], r["sha256"][:8]) for r in found] == [(3, "ba7816bf")]
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(5), limit=4)
+    archive = writers.zip_folder(spark, str(tmp_path / "f"), str(tmp_path / "x.zip"))
+    with zipfile.ZipFile(archive) as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"README.md": b"no", "a.txt": b"abc"}
     assert writers.markdown(rows(spark, [("a|b", None)], "x string, y string")).splitlines()[2] == "| a\\|b |  |"
 
 
