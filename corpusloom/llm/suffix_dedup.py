@@ -13,17 +13,23 @@
    reaches ``LENGTH`` start a string that also starts earlier (or later).
 4. Spans are merged per text and cut out of the texts they lie in.
 
-An anchor of more than ``GROUP`` different stretches is not collected in one place: its windows are compared by their own
-hashes in an aggregation instead, which gives the same windows whatever their number.
+An anchor of more than ``GROUP`` different stretches goes on to longer anchors: the offsets at which it stands in a window
+are halved, each half has bytes of its own that all its windows share, and these take the anchor's place. Stretches cut to a
+half are compared as bytes; those that are equal are copies, and one of each goes on, into suffix arrays or, where there are
+still too many, into further halves. A half of one offset has one kind of window, so this ends after the logarithm of the
+offsets, at any number of stretches.
 
 keep="none" removes every copy, keep="first" all but the first in order of (document id, position).
 
 Defined results: null text counts as empty; texts shorter than LENGTH stay whole; repeated rows are copies of one
-another; with keep="first", rows with null ids come first, and rows alike in id and text, which no order tells apart, are all kept.
+another, and with keep="first" one row of those alike in id and text keeps its text; rows with null ids come first; an empty
+table gives no rows; extra columns may have any names. Texts of any length are read one at a time. Where text is returned, a
+character that only lies in part in a removed span stays.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bound_batches, release, settle, slices
+from .common import bound_batches, release, settle, slices, unused
 
 LENGTH, GRAM, GROUP = 200, 50, 4000
 #: Stretches that share one suffix array, about.
@@ -234,18 +240,23 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 _KEYS = ["k1", "k2"]
-_NAMED = ["__k1 AS k1", "__k2 AS k2", "__ord AS ord"]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, names: list[str]) -> DataFrame:
+    """docs with the text (null: empty), two hashes of it and the id's place in the order, under the given names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"__text": text, "__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(11), text, F.length(text)), "__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
+    return docs.withColumns(dict(zip(names, (text, F.xxhash64(text), F.xxhash64(F.lit(11), text, F.length(text)), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))), strict=True)))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k1, k2, ord, text."""
+    return _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")), "id", "raw", ["text", "k1", "k2", "ord"]).select("k1", "k2", "ord", "text")
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per run: h, w (stretch), k1, k2, ord, pack (the anchor's place, and how far before it the run starts and ends)."""
     bound_batches(docs.sparkSession)
-    rows = _keyed(docs, id_col, text_col).select(*map(F.expr, _NAMED), F.col("__text").alias("text")).where(F.octet_length("text") >= length)
+    rows = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,20 +294,18 @@ def spans(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col:
     whole = marks.where("gone").select("k1", "k2", "ord", _first().alias("a"), (_last() + length).alias("b"))
     # the first of each of several stretches of an anchor: read, and compared by suffix arrays
     asked = marks.where("mixed").select("h", "w", "k1", "k2", "ord", "pack", F.col("kind").alias("kinds"))
-    crowded = settle(asked.groupBy("h").agg(F.max("kinds").alias("most")).where(F.col("most") > group), "crowded")
-    if crowded.limit(1).count():
-        asked = asked.join(crowded, "h", "left").withColumn("kinds", F.coalesce("most", "kinds")).drop("most")
     buckets = max(1, -(-asked.where(F.col("kinds") <= group).count() // TOGETHER))
     wanted = asked.groupBy("k1", "k2", "ord").agg(F.collect_list(F.struct("h", "w", "kinds", _place().alias("place"), _first().alias("first"), _last().alias("last"))).alias("runs"))  # of one text
-    texts = _keyed(docs, id_col, text_col).select(*map(F.expr, _NAMED), "__text")
-    read = settle(_read_runs(wanted.join(texts, ["k1", "k2", "ord"]), length, group), "runs")
-    some = read.where(F.col("windows").isNull()).withColumn("g", F.pmod("h", F.lit(buckets)))
-    per = some.groupBy("g").applyInPandas(lambda rows: _compare_strips(rows, length), "k1 long, k2 long, ord long, a long, b long, earlier boolean")
-    many = read.where(F.col("windows").isNotNull()).select("h", "k1", "k2", "ord", "at", F.posexplode("windows").alias("o", "x")).select("h", "x", "k1", "k2", "ord", (F.col("at") + F.col("o")).alias("a")).distinct()
-    spot = F.struct("ord", "k1", "k2", "a")
-    ends = many.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(spot).alias("lo")).where("n > 1")
-    hashed = many.join(ends, ["h", "x"]).select("k1", "k2", "ord", "a", (F.col("a") + length).alias("b"), (spot != F.col("lo")).alias("earlier"))
-    marked = per.unionByName(hashed)
+    read = settle(_read_runs(wanted.join(_texts(docs, id_col, text_col), ["k1", "k2", "ord"]), length), "runs")
+    crowded = settle(read.groupBy("h").agg(F.max("kinds").alias("most")).where(F.col("most") > group).select("h"), "crowded")
+    some, marked = read, None
+    if crowded.limit(1).count():
+        some = read.join(crowded, "h", "left_anti")
+        marked, further = _longer_anchors(read.join(crowded, "h", "left_semi"), length, gram, group)
+        some = some.select(*_RUN).unionByName(further)
+        buckets += max(1, -(-further.count() // TOGETHER))
+    per = some.select(*_RUN).withColumn("g", F.pmod("h", F.lit(buckets))).groupBy("g").applyInPandas(lambda rows: _compare_strips(rows, length), "k1 long, k2 long, ord long, a long, b long, earlier boolean")
+    marked = per if marked is None else per.unionByName(marked)
     everything = whole.unionByName((marked.where("earlier") if first else marked).drop("earlier"))
     by = ["k1", "k2", "ord"] if first else _KEYS
     merged = settle(everything.groupBy(*by).agg(F.collect_set(F.struct("a", "b")).alias("s")), "spans")  # of one text
@@ -412,30 +421,73 @@ def _mended(told: DataFrame, first: bool) -> DataFrame:
     )
 
 
-def _read_runs(joined: DataFrame, length: int, group: int) -> DataFrame:
-    """The asked runs' bytes; of an anchor with more than group stretches the hashes of its windows instead."""
+#: A run to be compared: its anchor, its text, where it starts in it, how far after that the anchor stands, and its bytes.
+_RUN = ["h", "k1", "k2", "ord", "at", "lead", "body"]
+_RUN_SCHEMA = "h long, k1 long, k2 long, ord long, at long, lead int, body binary"
+_RUN_TYPES = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+
+
+def _read_runs(joined: DataFrame, length: int) -> DataFrame:
+    """The asked runs' bytes, with kinds."""
     bound_batches(joined.sparkSession)
-    schema = "h long, k1 long, k2 long, ord long, at long, body binary, windows array<long>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
+        types = [*_RUN_TYPES, pa.int64()]
         for batch in batches:
             for row in batch.to_pylist():
-                data = np.frombuffer(row["__text"].encode(), np.uint8)
-                sums = prefix_sums(data) if any(r["kinds"] > group for r in row["runs"]) else None
+                data = row["text"].encode()
                 out: list[list] = [[] for _ in types]
                 for r in row["runs"]:
-                    a, b, body, windows = r["first"], r["last"], None, None
-                    if r["kinds"] <= group:
-                        body = data[a : b + length].tobytes()
-                    else:
-                        at = np.arange(a, b + 1)
-                        windows = span_hashes(sums, at, at + length).view(np.int64).tolist()
-                    for column, value in zip(out, (r["h"], row["k1"], row["k2"], row["ord"], a, body, windows), strict=True):
+                    for column, value in zip(out, (r["h"], row["k1"], row["k2"], row["ord"], r["first"], r["place"] - r["first"], data[r["first"] : r["last"] + length], r["kinds"]), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "k1", "k2", "ord", "at", "body", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*_RUN, "kinds"])
+
+    return joined.select("k1", "k2", "ord", "runs", "text").mapInArrow(run, f"{_RUN_SCHEMA}, kinds long")
+
+
+def halved(lead: int, body: bytes, lo: int, hi: int, length: int) -> list[tuple[int, int, int, bytes, bytes]]:
+    """A run's windows with the anchor at offsets lo .. hi - 1, cut in two halves of offsets: for each half that has any,
+    its bounds, how far into the run it starts, its bytes, and the bytes that all windows of the half hold there."""
+    out, least, middle = [], lead - (len(body) - length), (lo + hi + 1) // 2
+    for x, y in ((lo, middle), (middle, hi)):
+        top, bottom = min(lead, y - 1), max(least, x)
+        if x < y and bottom <= top:
+            out.append((x, y, lead - top, body[lead - top : lead - bottom + length], body[lead - x : lead - (y - 1) + length]))
+    return out
+
 
-    return joined.select("k1", "k2", "ord", "runs", "__text").mapInArrow(run, schema)
+def _longer_anchors(rows: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of anchors with over group different stretches: spans of copies among their halves (k1, k2, ord, a, b, earlier),
+    and one run of each kind that is left to be compared, no more than group of an anchor."""
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        types = [*_RUN_TYPES, pa.int32(), pa.int32()]
+        for batch in batches:
+            out: list[list] = [[] for _ in types]
+            for r in batch.to_pylist():
+                for x, y, start, body, common in halved(r["lead"], r["body"], r["lo"], r["hi"], length):
+                    h = xxh64_intdigest(common, (r["h"] + (x << 32 | y)) & (2**64 - 1)) - 2**63
+                    for column, value in zip(out, (h, r["k1"], r["k2"], r["ord"], r["at"] + start, r["lead"] - start, body, x, y), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*_RUN, "lo", "hi"])
+
+    rows = rows.select(*_RUN).withColumns({"lo": F.lit(0), "hi": F.lit(length - gram + 1)})
+    spot, copies, settled = F.struct("ord", "k1", "k2", "at"), [], []
+    while True:
+        parts = settle(rows.mapInArrow(split, f"{_RUN_SCHEMA}, lo int, hi int"), "halves")
+        kinds = settle(parts.groupBy("h", "body").agg(F.min(spot).alias("first"), F.min("lead").alias("lead"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.count("*").alias("n")), "kinds")
+        alike = parts.join(kinds.where("n > 1").select("h", "body", "first"), ["h", "body"])
+        copies.append(alike.select("k1", "k2", "ord", F.col("at").alias("a"), (F.col("at") + F.octet_length("body")).alias("b"), (spot != F.col("first")).alias("earlier")))
+        crowded = settle(kinds.groupBy("h").agg(F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("width")).where((F.col("n") > group) & (F.col("width") > 1)).select("h"), "crowded")
+        one = kinds.select("h", "first.*", "lead", "body", "lo", "hi")
+        settled.append(one.join(crowded, "h", "left_anti").select(*_RUN))
+        if not crowded.limit(1).count():
+            break
+        rows = settle(one.join(crowded, "h", "left_semi"), "crowd")
+    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    return union(copies), union(settled)
 
 
 def _compare_strips(rows: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -477,34 +529,63 @@ def _compare_some(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return out.assign(a=at + start, b=at + end, earlier=np.concatenate([none.astype(bool), *flags]))
 
 
+def _whole_characters(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Spans less the characters that they cut."""
+    inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    starts, ends = [], []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        while inside(x):
+            x += 1
+        while inside(y):
+            y -= 1
+        if x < y:
+            starts.append(x)
+            ends.append(y)
+    return starts, ends
+
+
 def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, columns: list[str] | None = None, group: int = GROUP, gram: int = GRAM) -> DataFrame:
-    """docs with the text that is left (bytes that no longer form characters at a cut are dropped); with digest instead:
-    n_bytes, n_removed, n_spans and kept_sha256 of the bytes left."""
+    """docs with the text that is left (characters that a span cuts stay); with digest instead: n_bytes, n_removed, n_spans
+    and kept_sha256 of the bytes left."""
+    own = docs.columns
+    text, k1, k2, ord_, s, number, again = unused(own, "text", "k1", "k2", "ord", "s", "number", "again")
+    inner = [text, k1, k2, ord_]
+    alike = None
+    if keep == "first":
+        several = _keyed(docs, id_col, text_col, inner).groupBy(k1, k2, ord_).agg(F.count("*").alias("n")).where("n > 1")
+        if several.limit(1).count():  # of rows alike in id and text one keeps its text
+            docs = settle(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+            alike = _keyed(docs, id_col, text_col, inner).groupBy(k1, k2, ord_).agg(F.min(number).alias(again), F.count("*").alias("n")).where("n > 1").drop("n")
     found = spans(docs, keep, id_col, text_col, length, group, gram)
     by = ["k1", "k2", "ord"] if keep == "first" else _KEYS
-    joined = _keyed(docs, id_col, text_col).join(found.select(*(F.col(c).alias(f"__{c}") for c in [*by, "s"])), [f"__{c}" for c in by], "left")
-    fields = [f for f in docs.schema.fields if f.name != text_col and (columns is None or f.name in columns)]
-    names = [f.name for f in fields]
+    own_names = dict(zip(["k1", "k2", "ord", "s"], [k1, k2, ord_, s], strict=True))
+    joined = _keyed(docs, id_col, text_col, inner).join(found.select(*(F.col(c).alias(own_names[c]) for c in [*by, "s"])), [own_names[c] for c in by], "left")
+    copy = F.lit(False)
+    if alike is not None:
+        joined = joined.join(alike, [k1, k2, ord_], "left")
+        copy = F.coalesce(F.col(number) != F.col(again), F.lit(False)) & (F.octet_length(text) >= length)
+    fields = [f for f in docs.schema.fields if f.name in own and f.name != text_col and (columns is None or f.name in columns)]
     new = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())] if digest else [StructField(text_col, StringType())]
-    taken = {f.name for f in new}
-    names, fields = [n for n in names if n not in taken], [f for f in fields if f.name not in taken]
+    taken = {f.name.lower() for f in new}
+    fields = [f for f in fields if f.name.lower() not in taken]
+    names = [f.name for f in fields]
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in new]
-            for text, s in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
-                raw = text.encode()
-                a, b = merge_spans(np.array([x["a"] for x in s or []], np.int64), np.array([x["b"] for x in s or []], np.int64))
-                cuts = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(raw)]
-                left = [raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]
-                if digest:
-                    values = (len(raw), int((b - a).sum()), len(a), hashlib.sha256(b"".join(left)).hexdigest())
-                else:
-                    values = ("".join(x.decode("utf-8", "ignore") for x in left),)
+            for body, found, whole in zip(*(batch.column(len(names) + i).to_pylist() for i in range(3)), strict=True):
+                raw = body.encode()
+                cut = [(0, len(raw))] if whole else [(x["a"], x["b"]) for x in found or []]
+                a, b = merge_spans(*np.array(cut, np.int64).reshape(-1, 2).T)
+                if not digest:
+                    a, b = _whole_characters(raw, a, b)
+                edges = [0, *(e for span in zip(a, b, strict=True) for e in span), len(raw)]
+                left = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                values = (len(raw), len(raw) - len(left), len(a), hashlib.sha256(left).hexdigest()) if digest else (left.decode(),)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             types = [pa.int64()] * 3 + [pa.string()] if digest else [pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=names + [f.name for f in new])
 
-    return joined.select(*names, "__text", "__s").mapInArrow(run, StructType(fields + new))
+    return joined.select(*names, text, s, copy.alias(again)).mapInArrow(run, StructType(fields + new))

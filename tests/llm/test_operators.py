@@ -173,6 +173,31 @@ def test_suffix_dedup_edges(spark):
     out = suffix_dedup.strip_repeats(docs(spark, ODD), "first")
     assert sorted(out.columns) == sorted(docs(spark, ODD).columns) and out.count() == len(ODD)
     assert suffix_dedup.strip_repeats(same.limit(0), "first").count() == 0
+    # of rows alike in id and text one keeps it; an earlier id goes first
+    long = " ".join(str(i * i) for i in range(90))
+    again = docs(spark, [long, long, long, "short", "short", None, None], [4, 4, 5, 6, 6, None, None])
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in suffix_dedup.strip_repeats(again, "first").collect()) == [(0, ""), (0, ""), (4, ""), (4, long), (5, ""), (6, "short"), (6, "short")]
+    # names that the operator uses inside, in any case
+    odd = same.withColumns({n: F.lit("mine") for n in ("__s", "__k1", "__ord", "K2", "at", "again", "number", "_text", "body")})
+    for keep in ("none", "first"):
+        out = suffix_dedup.strip_repeats(odd, keep)
+        assert sorted(out.columns) == sorted(odd.columns) and out.where("__s = 'mine' AND K2 = 'mine' AND __ord = 'mine' AND number = 'mine'").count() == 3
+
+
+def test_cut_characters_stay(spark):
+    """Spans that start or end inside a character: its bytes stay, and no byte that stays is lost."""
+    one, two = "é" * 30, "è" * 30  # é and è differ in their second byte
+    body = "the same passage in both of them, " * 3
+    texts = ["x" + one[:1] + body + one, "y" + two[:1] + body + two]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.strip_repeats(docs(spark, texts), "none", length=40, gram=15).collect()}
+    raw = [(i, t.encode()) for i, t in enumerate(texts)]
+    for (i, t), gone in zip(raw, brute_repeats(raw, 40, "none")):
+        at, want = 0, []
+        for ch in t.decode():
+            n = len(ch.encode())
+            want.append("" if gone[at : at + n].all() else ch)
+            at += n
+        assert got[i] == "".join(want)
 
 
 # 7
