@@ -1,27 +1,36 @@
 """Operator 6, toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words are mapped to classes (insult, threat, target, negation, reported speech, other) by a lexicon transducer: fixed
-seed words and word stems that labelled text marks as insulting. Four small machines follow the classes of a clause:
+A lexicon maps words to symbols (insult, threat, target, negation, report, vow, other) with weights: fixed seed words, and
+word stems that labelled text marks as insulting. Five transducers read the symbols of a clause one after the other, each the
+output of the one before, and add marks:
 
-* negation: up to ``REACH`` words after a negation word,
-* reported speech: from a reporting word or an opening quotation mark to the clause's end,
-* target: up to ``REACH`` words after a target word, or a target up to ``REACH`` words after an insult,
-* threat: a threat word followed by a target within ``REACH`` words.
+* ``Negation``: insults and threats up to ``REACH`` words after a negation word are negated,
+* ``Reported``: those after a reporting word or a quotation mark, up to the clause's end, are reported,
+* ``Target``: insults up to ``REACH`` words after a target word are aimed; a target up to ``REACH`` words after an insult
+  aims it afterwards,
+* ``Insult``: each insult is an event (aimed, negated, reported),
+* ``Threat``: a threat word with a target among the next ``THREAT_REACH`` words is an event (vowed, negated, reported); it is
+  vowed up to ``VOW_REACH`` words after a word that announces ("will", "deserve").
 
-Their composition is one table (state, class) -> (state, event) built once; a clause is scored by walking it. Events
-carry the word's weight, and a document's score is a logistic function of the summed weights of its events, fitted on
-labelled text. Only clauses that hold a lexicon word are walked; they are found in whole texts by an Aho-Corasick scan.
+``Composition`` is their product as one table (state, symbol) -> (state, effects), made when a pair first comes up; a clause
+is scored by following it. Events carry the weight of their insult or threat word, and a document's score is a logistic
+function of the logarithms of its events' summed weights, fitted on labelled text. Only clauses that hold a lexicon word are
+followed; they are found in whole texts by an Aho-Corasick scan.
 
-Training reads a bounded hash sample: ``PER_CLASS`` labelled documents a class.
+Training reads a bounded hash sample, ``PER_CLASS`` labelled documents a class, written once and read from there.
 
 Defined results: a null text counts as empty; texts without a match all get the same low score; without labels of both
-classes the prior weights of the seeds alone decide.
+classes the prior weights of the seeds alone decide; labels that are null or not 0 or 1 are ignored, of several labels of an
+id the higher counts, and of several texts of an id the least is learned from; of stems that fit a word the longest decides;
+repeated rows get the same score; a text of any length is scanned clause by clause; an empty table gives no rows; an input
+column with the score's name gives way to it.
 """
 
 from __future__ import annotations
 
-import itertools
+import functools
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,71 +39,142 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from .common import append_columns
-from .quality import fit_logistic, logistic, sampled
+from .quality import fit_logistic, labelled_texts, logistic, sampled
 
-PER_CLASS, REACH = 4000, 3
+PER_CLASS, REACH, THREAT_REACH, VOW_REACH = 4000, 3, 2, 4
 #: A stem is learned if so large a share of its contexts is toxic, and so many of them that chance would give it once in
 #: e ** EVIDENCE stems.
 LEAST_SHARE, EVIDENCE = 0.97, 16.0
+SEED_WEIGHT = 3.0
 
-# fixed values: seed words
+# fixed values: seed words, threats by how grave they are
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown clowns pathetic worthless disgusting imbecile dumb vermin bastard bitch asshole arschloch dummkopf trottel abschaum imbécile crétin connard ordure estúpido imbécil escoria idiota gilipollas".split()
-THREATS = "kill murder hurt destroy beat shoot stab burn töten umbringen vernichten tuer détruire frapper matar destruir golpear".split()
-TARGETS = "you your yours yourself he she they them him her du dich euch ihr vous toi te tu ti usted ustedes ellos".split()
+THREATS = {3.0: "kill murder shoot stab töten umbringen tuer matar".split(), 2.0: "destroy burn hurt vernichten détruire destruir".split(), 1.5: "beat frapper golpear".split()}
+TARGETS = "you your yours yourself he she they him her du dich euch ihr vous toi te tu ti usted ustedes ellos".split()
 NEGATIONS = "not no never none isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais aucun nunca jamás ni".split()
 REPORTS = "said says say called calls quoted reported wrote claimed sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".split()
+VOWS = "will i'll we'll gonna going shall must should deserve deserves werde werden soll sollen verdient vais allons doit mérite voy vamos debe merece".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Events: an insult by (target near, negated, reported), a threat by (negated, reported).
-EVENTS = [("insult", t, n, r) for t in (0, 1) for n in (0, 1) for r in (0, 1)] + [("threat", 0, n, r) for n in (0, 1) for r in (0, 1)]
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, VOW = range(7)
+#: Events: an insult by (aimed, negated, reported), a threat by (vowed, negated, reported).
+EVENTS = [(kind, a, n, r) for kind in ("insult", "threat") for a in (0, 1) for n in (0, 1) for r in (0, 1)]
+AT = {e: i for i, e in enumerate(EVENTS)}
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
 
 
-def compose() -> dict[tuple, tuple]:
-    """The product of the machines: (state, class) -> (state, event or None), states reachable from the start only.
+class Sign(NamedTuple):
+    """A symbol with the marks that transducers have set so far. effects: ("insult", event), ("aim", event before, event
+    after) or ("threat", event), to be given the weight of this insult, the last loose one, or the last threat word."""
+
+    kind: int
+    negated: int = 0
+    reported: int = 0
+    aimed: int = 0
+    effects: tuple = ()
+
+
+class Negation:
+    start = 0
+
+    @staticmethod
+    def step(left: int, sign: Sign) -> tuple[int, Sign]:
+        if sign.kind == NEGATION:
+            return REACH, sign
+        return max(0, left - 1), sign._replace(negated=int(left > 0)) if sign.kind in (INSULT, THREAT) else sign
+
+
+class Reported:
+    start = 0
+
+    @staticmethod
+    def step(said: int, sign: Sign) -> tuple[int, Sign]:
+        return int(said or sign.kind == REPORT), sign._replace(reported=said) if sign.kind in (INSULT, THREAT) else sign
+
+
+class Target:
+    """State: words left in which an insult is aimed; words left in which a target aims the last loose insult, and its marks."""
+
+    start = (0, 0, None)
+
+    @staticmethod
+    def step(state: tuple, sign: Sign) -> tuple[tuple, Sign]:
+        left, waits, marks = state
+        after = (max(0, left - 1), waits - 1, marks) if waits > 1 else (max(0, left - 1), 0, None)
+        if sign.kind == TARGET:
+            if waits:
+                sign = sign._replace(effects=(*sign.effects, ("aim", AT["insult", 0, *marks], AT["insult", 1, *marks])))
+            return (REACH, 0, None), sign
+        if sign.kind == INSULT:
+            if left:
+                return (after[0], 0, None), sign._replace(aimed=1)
+            return (after[0], REACH, (sign.negated, sign.reported)), sign
+        return after, sign
 
-    State: words left under negation, under target, under threat, and whether speech is reported.
-    """
-    table: dict[tuple, tuple] = {}
-    todo = [(0, 0, 0, 0)]
-    seen = set(todo)
-    while todo:
-        state = todo.pop()
-        neg, tgt, thr, rep = state
-        for kind in range(6):
-            event = None
-            after = [max(0, neg - 1), max(0, tgt - 1), max(0, thr - 1), rep]
-            if kind == NEGATION:
-                after[0] = REACH
-            elif kind == REPORT:
-                after[3] = 1
-            elif kind == THREAT:
-                after[2] = REACH
-            elif kind == TARGET:
-                after[1] = REACH
-                if thr:
-                    event, after[2] = EVENTS.index(("threat", 0, int(neg > 0), rep)), 0
-            elif kind == INSULT:
-                event = EVENTS.index(("insult", int(tgt > 0), int(neg > 0), rep))
-            table[state, kind] = (tuple(after), event)
-            if tuple(after) not in seen:
-                seen.add(tuple(after))
-                todo.append(tuple(after))
-    return table
+
+class Insult:
+    start = ()
+
+    @staticmethod
+    def step(state: tuple, sign: Sign) -> tuple[tuple, Sign]:
+        if sign.kind == INSULT:
+            sign = sign._replace(effects=(*sign.effects, ("insult", AT["insult", sign.aimed, sign.negated, sign.reported])))
+        return state, sign
+
+
+class Threat:
+    """State: words left in which a threat is vowed; words left in which a target makes the last threat word one, its marks."""
+
+    start = (0, 0, None)
+
+    @staticmethod
+    def step(state: tuple, sign: Sign) -> tuple[tuple, Sign]:
+        left, waits, marks = state
+        after = (max(0, left - 1), waits - 1, marks) if waits > 1 else (max(0, left - 1), 0, None)
+        if sign.kind == VOW:
+            return (VOW_REACH, *after[1:]), sign
+        if sign.kind == THREAT:
+            return (after[0], THREAT_REACH, (int(left > 0), sign.negated, sign.reported)), sign
+        if sign.kind == TARGET and waits:
+            return (after[0], 0, None), sign._replace(effects=(*sign.effects, ("threat", AT["threat", *marks])))
+        return after, sign
+
+
+class Composition(dict):
+    """The transducers' product: (state, symbol) -> (state, effects), a state being one of each; entries are made on demand."""
+
+    def __init__(self, *machines: type):
+        super().__init__()
+        self.machines, self.start = machines, tuple(m.start for m in machines)
+
+    def __missing__(self, key: tuple) -> tuple:
+        states, sign = key[0], Sign(key[1])
+        after = []
+        for machine, state in zip(self.machines, states, strict=True):
+            state, sign = machine.step(state, sign)
+            after.append(state)
+        self[key] = (tuple(after), sign.effects)
+        return self[key]
+
+
+@functools.lru_cache(maxsize=1)
+def composed() -> Composition:
+    return Composition(Negation, Reported, Target, Insult, Threat)
 
 
 class Grammar:
-    """The lexicon and the composed machine. stems: stem -> weight; words: seed word -> (class, weight)."""
+    """The lexicon and the composed transducers. stems: stem -> weight; words: seed word -> (symbol, weight)."""
 
     def __init__(self, stems: dict[str, float]):
         import ahocorasick
 
         self.stems = stems
-        self.words = {w: (INSULT, 3.0) for w in INSULTS} | {w: (THREAT, 3.0) for w in THREATS} | {w: (TARGET, 0.0) for w in TARGETS} | {w: (NEGATION, 0.0) for w in NEGATIONS} | {w: (REPORT, 0.0) for w in REPORTS}
-        self.table = compose()
+        threats = {w: grave for grave, words in THREATS.items() for w in words}
+        groups = [(INSULT, dict.fromkeys(INSULTS, SEED_WEIGHT)), (THREAT, threats), *((kind, dict.fromkeys(words, 0.0)) for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (VOW, VOWS)))]
+        self.words = {w: (kind, weight) for kind, words in groups for w, weight in words.items()}
+        self.table = composed()
         self.scan = ahocorasick.Automaton()
-        for w in {*INSULTS, *THREATS, *stems}:
+        for w in {*INSULTS, *threats, *stems}:
             self.scan.add_word(w, len(w))
         self.scan.make_automaton()
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
@@ -121,33 +201,35 @@ class Grammar:
         return out
 
     def walk(self, clause: str) -> np.ndarray:
-        """Summed weights by event."""
-        total, state, waiting = np.zeros(len(EVENTS)), (0, 0, 0, 0), (-1, -99)
-        for i, word in enumerate(_TOKEN.findall(clause)):
+        """Summed weights by event: the table followed over the clause's symbols."""
+        total, state, loose, grave = np.zeros(len(EVENTS)), self.table.start, 0.0, 0.0
+        for word in _TOKEN.findall(clause):
             kind, weight = self.classify(word)
-            state, event = self.table[state, kind]
-            if kind == TARGET and i - waiting[1] <= REACH and not EVENTS[waiting[0]][1]:
-                # the target machine run backwards: a target soon after an insult makes it aimed
-                _, _, n, r = EVENTS[waiting[0]]
-                total[waiting[0]] -= waiting[2]
-                total[EVENTS.index(("insult", 1, n, r))] += waiting[2]
-                waiting = (-1, -99)
-            if event is not None:
-                weight = weight or 3.0
-                total[event] += weight
-                if EVENTS[event][0] == "insult":
-                    waiting = (event, i, weight)
+            state, effects = self.table[state, kind]
+            for effect in effects:
+                if effect[0] == "insult":
+                    total[effect[1]] += weight
+                elif effect[0] == "aim":
+                    total[effect[1]] -= loose
+                    total[effect[2]] += loose
+                else:
+                    total[effect[1]] += grave
+            if kind == INSULT:
+                loose = weight
+            elif kind == THREAT:
+                grave = weight
         return total
 
     def features(self, text: str | None) -> np.ndarray:
+        """Logarithms of one and the events' weights, and of one and all weights."""
         total = np.zeros(len(EVENTS))
         for clause in self.clauses((text or "").lower()):
             total += self.walk(clause)
-        return np.concatenate([np.minimum(total, 6.0), [min(12.0, total.sum())]])
+        return np.log1p(np.maximum(0.0, np.append(total, total.sum())))
 
 
-#: Weights before any labels: aimed insults and threats count most, negated and reported ones least.
-PRIOR = np.array([-4.0] + [(1.6 + 0.6 * t) * (0.3 if n else 1) * (0.3 if r else 1) for _, t, n, r in EVENTS] + [0.6])
+#: Weights before any labels: aimed insults and vowed threats count most, negated and reported ones least.
+PRIOR = np.array([-4.0] + [((2.6 if a else 1.6) if kind == "threat" else 1.6 + 0.6 * a) * (0.3 if n else 1) * (0.3 if r else 1) for kind, a, n, r in EVENTS] + [0.6])
 
 
 def learn_stems(rows: DataFrame) -> dict[str, float]:
@@ -178,9 +260,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> dict:
     """The learned stems and the events' weights."""
-    text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("length(__text) > 0")
-    chosen = sampled(labels, label, per_class, 3, id_col)
-    rows = text.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"])
+    rows = labelled_texts(docs, sampled(labels, label, per_class, 3, id_col), id_col, text_col, "toxic")
     stems = learn_stems(rows)
     columns = [StructField(f"e{i}", DoubleType()) for i in range(len(EVENTS) + 1)]
 
