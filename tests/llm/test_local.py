@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -166,6 +167,14 @@ def test_sizes_and_calibration():
     assert quality.sizes(None, tools) == quality.sizes("", tools)
 
 
+def test_dictionaries():
+    rng = random.Random(2)
+    texts = [["".join(rng.choices("abcd ", k=400)) for _ in range(rng.randint(1, 6))] for _ in range(80)]
+    made = quality.dictionary(texts, 4096, 1 << 15)
+    assert made[:4] == bytes.fromhex("37a430ec") and len(made) <= 4096 and made == quality.dictionary(texts, 4096, 1 << 15)
+    assert quality.dictionary([["too little"]]) == b"too little" and quality.dictionary([]) == b""
+
+
 # 5
 
 
@@ -213,16 +222,52 @@ def test_grammar_events():
     assert name("a moron like you") == [("insult", 1, 0, 0)]
     assert name("that is not a moron") == [("insult", 0, 1, 0)]
     assert name("the boy said moron") == [("insult", 0, 0, 1)]
-    assert name("I will kill you") == [("threat", 0, 0, 0)]
+    assert name("I will kill you") == [("threat", 1, 0, 0)]
+    assert name("they kill you") == [("threat", 0, 0, 0)]
+    assert name("he said I will not kill you") == [("threat", 1, 1, 1)]
     assert name("we kill time") == [] and name("") == [] and name(None) == []
+    assert name("kill the process you started") == []
     assert name("not that. A moron!") == [("insult", 0, 0, 0)]  # a clause ends the negation
 
 
 def test_prior_order():
     g = toxicity.Grammar({})
-    model = (np.zeros(13), np.ones(13), toxicity.PRIOR)
+    model = (np.zeros(17), np.ones(17), toxicity.PRIOR)
     score = lambda t: float(quality.logistic(g.features(t)[None], model)[0])
     assert score("you are a moron") > score("what a moron") > score("he said not a moron") > score("hello")
+    assert score("I will kill you") > score("kill you") > score("he said I will kill you") > score("kill the process you started")
+    assert score("you will be beaten") < score("I will beat you") < score("I will murder you")  # threats weigh by word
+    assert score("a moron. " * 40) > score("a moron. " * 8) > score("a moron. " * 2)  # no ceiling
+
+
+def direct_events(kinds, weights):
+    """The grammar's events by their definitions, looking both ways from each word."""
+    T, total = toxicity, np.zeros(len(toxicity.EVENTS))
+    before = lambda i, n, kind: kind in kinds[max(0, i - n) : i]
+
+    def target_after(i, n, same):
+        for j in range(i + 1, min(len(kinds), i + n + 1)):
+            if kinds[j] in (T.TARGET, same):
+                return kinds[j] == T.TARGET
+        return False
+
+    for i, kind in enumerate(kinds):
+        marks = (int(before(i, T.REACH, T.NEGATION)), int(T.REPORT in kinds[:i]))
+        if kind == T.INSULT:
+            total[T.AT["insult", int(before(i, T.REACH, T.TARGET) or target_after(i, T.REACH, T.INSULT)), *marks]] += weights[i]
+        elif kind == T.THREAT and target_after(i, T.THREAT_REACH, T.THREAT):
+            total[T.AT["threat", int(before(i, T.VOW_REACH, T.VOW)), *marks]] += weights[i]
+    return total
+
+
+def test_transducers_against_definitions():
+    rng = random.Random(12)
+    g = toxicity.Grammar({"zorb": 1.7})
+    vocabulary = ["moron", "scum", "zorbing", "kill", "beat", "you", "him", "not", "nie", "said", "will", "deserves", "tree", "of", "the", '"']
+    for _ in range(3000):
+        words = rng.choices(vocabulary, k=rng.randint(1, 14))
+        kinds, weights = zip(*map(g.classify, words))
+        assert g.walk(" ".join(words)) == pytest.approx(direct_events(list(kinds), weights)), words
 
 
 # 7
@@ -332,9 +377,93 @@ def test_profiles():
     assert langid.Profiles({}).predict("word") == ("und", 0.0)
 
 
+def direct_language(text, profiles, top):
+    """Out-of-place distances over plain dictionaries."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not words:
+        return "und", 0.0
+    counts = {}
+    line = " " + " ".join(words) + " "
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            g = line[i : i + n]
+            if g != " ":
+                counts[g] = counts.get(g, 0) + 1
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    own = sorted(counts, key=lambda g: (-counts[g], code(g)))[:top]
+    far = {}
+    for name, grams in profiles.items():
+        place = {int(g): i for i, g in enumerate(grams)}
+        far[name] = sum(abs(place[code(g)] - i) if code(g) in place else top for i, g in enumerate(own))
+    best = min(sorted(far), key=far.get)
+    second = sorted(far.values())[1]
+    return best, 1 - far[best] / second if second else 0.0
+
+
+def test_languages_against_plain_dictionaries():
+    rng = random.Random(8)
+    make = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(n))
+    scripts = {"a": "abcdeé", "b": "abxyzß", "c": "абвгд", "d": "日本語aé"}
+    profiles = {k: langid.most_frequent(langid.grams(make(v, 400))) for k, v in scripts.items()}
+    tool = langid.Profiles(profiles)
+    texts = [make(rng.choice(list(scripts.values())), rng.randint(1, 60)) for _ in range(60)] + ["", "1 2", "É", "a1b2 c!", "x" * 3000, "İ ǅ", "aé" * 900]
+    for t in texts:
+        name, score = tool.predict(t)
+        want = direct_language(t, profiles, langid.TOP)
+        assert (name, score) == (want[0], pytest.approx(want[1])), t
+
+
 # 10
 
 
+def direct_sketch(text):
+    """Order MinHash over plain lists: numbered k-mers, the least of each bin, in the order of the text."""
+    k, bins, size, mask = order_minhash.KMER, order_minhash.COMPONENTS, order_minhash.TUPLE, 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    points = [ord(c) for c in text]
+    points += [0x110000] * (k - len(points))
+    grams = []
+    for at in range(len(points) - k + 1):
+        gram = 0
+        for p in points[at : at + k]:
+            gram = (gram * 0x9E3779B97F4A7C15 + p + 1) & mask
+        grams.append(gram)
+    count, times, rows = Counter(grams), Counter(), [[] for _ in range(bins)]
+    for at, gram in enumerate(grams):
+        h = mixed((mixed(gram) + times[gram]) & mask) if count[gram] > 1 else mixed(gram)
+        times[gram] += 1
+        rows[h % bins].append((h, at))
+    out = []
+    for row in rows:
+        least = sorted(sorted(row)[:size], key=lambda r: r[1])
+        values = [0] * (size - len(least)) + [h for h, _ in least]
+        total = 0
+        for j, h in enumerate(values):
+            total = mixed((total * 31 + h + j + 1) & mask)
+        out.append(total if row else None)
+    filled = [i for i, v in enumerate(out) if v is not None]
+    for i, v in enumerate(list(out)):
+        if v is None:
+            source = next((j for j in filled if j > i), filled[0])
+            out[i] = mixed((out[source] + i + 1) & mask)
+    return [v >> 32 for v in out]
+
+
+@pytest.mark.parametrize("text", ["", "a", "short one", "0123456789", "a" * 400, "ab " * 300, "The quick brown fox. " * 3, "été 日本 🙂 " * 30])
+def test_sketch_against_plain_lists(text):
+    assert order_minhash.sketch(text).tolist() == direct_sketch(text)
+
+
+def test_long_sketch_against_plain_lists():
+    text = "".join(random.Random(1).choices("abcdefghijklmnop ", k=30_000))  # over the bound below which all hashes are looked at
+    assert order_minhash.sketch(text).tolist() == direct_sketch(text)
+
+
 def test_sketch_follows_edits():
     rng = random.Random(6)
     text = "".join(rng.choice("abcdefghij ") for _ in range(4000))

@@ -83,6 +83,22 @@ def labelled(spark, n=60):
     return docs(spark, texts), docs(spark, insults), labels
 
 
+def test_learning_from_odd_tables(spark):
+    """Of several texts of an id the least is learned from, whatever the order of rows; names used inside do no harm."""
+    d, insults, labels = labelled(spark)
+    twice = d.unionByName(d.withColumn("text", F.concat(F.lit("~ another text of the same id, "), "text")))
+    models = [quality.train(x, labels, excerpts=10, calibrated=20) for x in (twice, twice.orderBy(F.desc("text")).repartition(5))]
+    assert models[0]["good"] == models[1]["good"] and all((a == b).all() for a, b in zip(models[0]["model"], models[1]["model"]))
+    odd = d.withColumns({n: F.lit("mine") for n in ("__id", "__y", "__text", "__use", "good_size", "raw_size")})
+    scored = quality.score(odd, models[0])
+    assert scored.where("__id = 'mine' AND __text = 'mine' AND good_size = 'mine'").count() == d.count()
+    twice = insults.unionByName(insults.withColumn("text", F.upper("text")))
+    models = [toxicity.train(x, labels) for x in (twice, twice.orderBy(F.desc("text")).repartition(5))]
+    assert models[0]["stems"] == models[1]["stems"] and all((a == b).all() for a, b in zip(models[0]["model"], models[1]["model"]))
+    odd = odd.withColumn("e0", F.lit("mine"))
+    assert toxicity.score(odd, toxicity.train(odd, labels)).where("__id = 'mine' AND e0 = 'mine'").count() == d.count()
+
+
 def test_quality(spark):
     d, _, labels = labelled(spark)
     model = quality.train(d, labels, excerpts=10, calibrated=20)
@@ -287,7 +303,14 @@ def test_media(spark):
     vectors = spark.createDataFrame([(i, rng.normal(0, 0.15, 64).tolist()) for i in range(40)] + [(41, [0.0] * 64), (42, None), (None, [1.0])], "vec_id long, embedding array<double>")
     pictures = media.album(vectors)
     extra = spark.createDataFrame([(900, None), (901, b""), (902, b"no image"), (903, None)], "media_id long, image binary")
-    rows = {r["media_id"]: r for r in media.copies(pictures.unionByName(extra)).collect()}
+    one = media.encode_pgm(media.draw([0.3] * 64))
+    more = spark.createDataFrame([(950, one), (None, one), (2**63 - 1, one), (960, one), (960, one), (None, media.encode_pgm(media.draw([0.4] * 64)))], "media_id long, image binary")
+    found = media.copies(pictures.unionByName(extra).unionByName(more).withColumns({n: F.lit("mine") for n in ("digest", "spots", "rep", "n")})).collect()
+    assert len(found) == pictures.count() + 10 and sorted(found[0].asDict()) == ["class_id", "media_id", "n_corners", "n_links"]
+    rows = {r["media_id"]: r for r in found}
+    assert [(r["class_id"], r["n_links"]) for r in found if r["media_id"] in (950, 960, 2**63 - 1)] == [(950, 4)] * 4
+    none = sorted(((r["class_id"] or -1), r["n_links"]) for r in found if r["media_id"] is None)
+    assert none[-1] == (950, 4) and len(none) == 3
     for i in (0, 10, 20, 30):  # cropped, brightened, turned, overprinted
         assert rows[2 * i + 1]["class_id"] == rows[2 * i]["class_id"] == 2 * i and rows[2 * i]["n_links"] == 1
     assert all(rows[2 * i]["class_id"] == 2 * i and rows[2 * i]["n_links"] == 0 for i in range(40) if i % 10)

@@ -1,6 +1,7 @@
 """The registered queries over the smallest tables against brute force or held-out labels, and the pipeline's stages."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -10,9 +11,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm import bpe, order_minhash, packing, queries, simhash
+from corpusloom.llm import bpe, order_minhash, packing, queries, toxicity
 
-from .test_local import direct_print
+from .test_local import direct_events, direct_print, direct_sketch
 from .test_operators import brute_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +95,39 @@ def test_classifiers_on_held_out_labels(spark, name, label, rest, least):
     assert sum(r["predicted"] == r[label] for r in held) / len(held) >= least
 
 
+def test_op4_and_op6_by_hand(spark, texts):
+    """The queries' scores, worked out again from the models for each text alone."""
+    import zstandard
+
+    model = queries.quality_model(spark, SF)
+    made = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model[k]), write_content_size=False, write_checksum=False, write_dict_id=False) for k in ("good", "bad")]
+    mean, scale, w = model["model"]
+    for r in queries.op4_quality(spark, SF).collect():
+        raw = texts[r["doc_id"]].encode()
+        good, bad = (sum(len(c.compress(raw[i : i + 256])) for i in range(0, max(1, len(raw)), 256)) for c in made)
+        length = np.log(len(raw) + 16)
+        x = np.array([(bad - good) / (bad + good + 64), (bad - good) / (len(raw) + 64)])
+        x = np.array([*x, *(x * length), length])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(w[0] + ((x - mean) / scale) @ w[1:]))), abs=1e-9)
+        assert r["predicted"] == (r["score"] >= 0.3)
+    model = queries.toxicity_model(spark, SF)
+    grammar = toxicity.Grammar(model["stems"])
+    mean, scale, w = model["model"]
+    hits = 0
+    for r in queries.op6_toxicity(spark, SF).collect():
+        total = np.zeros(len(toxicity.EVENTS))
+        for clause in re.split(r"[.!?;\n]", texts[r["doc_id"]].lower()):
+            words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]", clause)
+            if words:
+                kinds, weights = zip(*map(grammar.classify, words))
+                total += direct_events(list(kinds), weights)
+        hits += total.any()
+        x = np.log1p(np.append(total, total.sum()))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(w[0] + ((x - mean) / scale) @ w[1:]))), abs=1e-6)
+        assert r["predicted"] == (r["score"] >= 0.7)
+    assert hits
+
+
 def test_op9(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.op9_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -131,7 +165,11 @@ def test_op10(spark, texts):
         t = texts[r["doc_id"]]
         e = t[: len(t) - len(t) // 3] + after[r["doc_id"]][: len(t) // 3]
         assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and r["n_chars"] == len(t)
-        assert r["near_edited"] == order_minhash.likeness(order_minhash.sketch(t), order_minhash.sketch(e))
+        own, other, following = (order_minhash.sketch(x) for x in (t, e, after[r["doc_id"]]))
+        if len(t) < 1500:
+            assert own.tolist() == direct_sketch(t) and other.tolist() == direct_sketch(e)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{v:08x}" for v in x.tolist()) for x in (own, other))
+        assert (r["near_edited"], r["near_next"]) == ((own == other).mean(), (own == following).mean())
         near.append(r["near_edited"] > r["near_next"])
     assert sum(near) / len(near) > 0.9
 
