@@ -152,7 +152,7 @@ def _filled(c: Column, teaching: Column) -> Column:
 def normalize_synthetic(c: Column, teaching: Column) -> Column:
     """TXT-10."""
     c = strip(c)
-    c = F.when(has_moral(c), c).otherwise(F.concat(rstrip(c), F.lit("\n\nMoral: "), teaching))
+    c = F.concat(c, F.when(has_moral(c), "").otherwise(F.concat(F.lit("\n\nMoral: "), teaching)))
     return strip(_filled(c, teaching))
 
 
@@ -160,7 +160,7 @@ def normalize_rewrite(c: Column, teaching: Column) -> Column:
     """TXT-11."""
     c = sub(sub(sub(strip(c), r"\r\n?", "\n"), r"[ \t]+", " "), r"\n{3,}", "\n\n")
     c = _filled(c, teaching)
-    return strip(F.when(has_moral(c), c).otherwise(F.concat(rstrip(c), F.lit("\n\nMoral: "), teaching)))
+    return strip(F.concat(c, F.when(has_moral(c), "").otherwise(F.concat(F.lit("\n\nMoral: "), teaching))))
 
 
 def punctuate(c: Column, empty: str = "") -> Column:

@@ -26,7 +26,16 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "pages", "conversations") else df  # tables of texts
+
+
+def spread(df: DataFrame, small: int = 16 << 20) -> DataFrame:
+    """df over all cores, if it is so small that a row group or two would keep a single core busy: less than small bytes a
+    core by the optimizer's estimate, which is that of the files. Larger tables stay as their files deal them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < small * cores else df
 
 
 def num(c: Column, digits: int = 6) -> Column:
