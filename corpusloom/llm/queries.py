@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.base import spread
+
 #: Tokenizer files are found by name in the installed package, on the driver and on every executor.
 PACK_VOCABULARY = "byte_bpe_50k.json"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "pages") else df  # tables of texts
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
