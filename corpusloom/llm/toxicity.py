@@ -44,7 +44,7 @@ from .quality import fit_logistic, labelled_texts, logistic, sampled
 PER_CLASS, REACH, THREAT_REACH, VOW_REACH = 4000, 3, 2, 4
 #: A stem is learned if so large a share of its contexts is toxic, and so many of them that chance would give it once in
 #: e ** EVIDENCE stems.
-LEAST_SHARE, EVIDENCE = 0.97, 16.0
+LEAST_SHARE, EVIDENCE = 0.8, 10.0
 SEED_WEIGHT = 3.0
 
 # fixed values: seed words, threats by how grave they are
