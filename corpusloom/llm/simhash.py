@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
-from .common import append_columns, settle, unused
+from .common import append_columns, part_by_members, settle, unused
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -45,6 +45,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 WIDE, WIDE_SHINGLE, SPARE, MEET = 256, 5, 1.7, 0.97
 #: Distinct fingerprints of a key, about, and of a group that is compared at once at most.
 SHARE, TILE = 512, 2048
+#: Large keys that are sent to all executors (some bytes each); more are joined.
+FEW = 50_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPREAD = np.random.RandomState(5).randint(1, 2**63 - 1, WIDE // 64, np.int64).astype(np.uint64)
 
@@ -218,10 +220,15 @@ def _packed(fp: pd.Series) -> np.ndarray:
     return fp.to_numpy(np.int64).view(np.uint64).reshape(-1, 1)
 
 
-def _met(dealt: DataFrame, tile: int) -> DataFrame:
-    """fp, none, least, key, i, j, side: the members of each key, of large keys for each pair of tiles."""
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(sizes, "key")
+def _met(dealt: DataFrame, tile: int, sparse: bool) -> DataFrame:
+    """fp, none, least, key, i, j, side: the members of each key, of large keys for each pair of tiles. sparse: most keys
+    have one member, which goes before the rows are dealt; otherwise only large keys are looked up."""
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n"))
+    if sparse:
+        met = dealt.join(sizes.where("n > 1"), "key")
+    else:
+        large = settle(sizes.where(F.col("n") > tile), "large")
+        met = dealt.join(F.broadcast(large) if large.count() <= FEW else large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     # large keys: tiles by a hash of the fingerprint; tile pairs (i <= j) get the members of both
     tiles = F.ceil(F.col("n") / tile).cast("int")
     met = met.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
@@ -232,10 +239,9 @@ def _met(dealt: DataFrame, tile: int) -> DataFrame:
     return met.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _links(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Links (a_none, a_least, a_fp, b_none, b_least, b_fp) within the keys of dealt (fp, none, least, key) that join all
-    fingerprints within the radius."""
-    kind = dealt.schema["fp"].dataType.simpleString()
+def _links(dealt: DataFrame, radius: int, tile: int, sparse: bool) -> DataFrame:
+    """Links (a_none, a_least, b_none, b_least) within the keys of dealt (fp, none, least, key) that join all fingerprints
+    within the radius; none and least name a fingerprint."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -249,7 +255,7 @@ def _links(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
         if held is not None and len(held):
             yield _compare_groups(held, radius)
 
-    return _met(dealt, tile).mapInPandas(run, ", ".join(f"{e}_none boolean, {e}_least long, {e}_fp {kind}" for e in "ab")).distinct()
+    return _met(dealt, tile, sparse).mapInPandas(run, "a_none boolean, a_least long, b_none boolean, b_least long").distinct()
 
 
 def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: list[tuple[int, int]] | None = None) -> DataFrame:
@@ -268,7 +274,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: lis
 
     choices = list(itertools.combinations(range(len(blocks)), len(blocks) - 4))
     keys = F.array(*(key(k, chosen).cast("long") for k, chosen in enumerate(choices)))
-    return _links(prints.select("fp", "none", "least", F.explode(keys).alias("key")), radius, tile)
+    return _links(prints.select("fp", "none", "least", F.explode(keys).alias("key")), radius, tile, True)
 
 
 def wide_links(prints: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
@@ -283,7 +289,7 @@ def wide_links(prints: DataFrame, similarity: float, tile: int = TILE) -> DataFr
             for k, places in enumerate(keys):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits[:, places] @ weights | k << 44)], names=["fp", "none", "least", "key"])
 
-    return _links(prints.select("fp", "none", "least").mapInArrow(deal, "fp binary, none boolean, least long, key long"), radius_of(similarity), tile)
+    return _links(prints.select("fp", "none", "least").mapInArrow(deal, "fp binary, none boolean, least long, key long"), radius_of(similarity), tile, False)
 
 
 def _compare_groups(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
@@ -300,21 +306,23 @@ def _compare_groups(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
         left.append(a + start)
         right.append(b + start)
     ends = {"a": rows.iloc[np.concatenate(left)], "b": rows.iloc[np.concatenate(right)]}
-    return pd.DataFrame({f"{e}_{c}": part[c].to_numpy() for e, part in ends.items() for c in ("none", "least", "fp")})
+    return pd.DataFrame({f"{e}_{c}": part[c].to_numpy() for e, part in ends.items() for c in ("none", "least")})
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable over links), root (the component's least fp). Links: radius bits
+    """doc_id, fp, component_id (the smallest id reachable over links), root (what names the component). Links: radius bits
     of 64 at most, or with similarity as near as texts of that Jaccard similarity."""
     wide = similarity is not None
     rows = settle(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"], size=size, wide=wide), "prints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", F.lit(0)).cast("long").alias("least"), F.col("least").isNull().alias("none"))
+    # a fingerprint goes by the least id of its rows, which no other has, or, where all are null, by its hash
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = prints.select("fp", F.col("least").isNull().alias("none"), F.coalesce(F.col("least").cast("long"), F.xxhash64("fp") if wide else F.col("fp")).alias("least"))
     found = wide_links(prints, similarity) if wide else links(prints, radius)
-    # a node is ordered by the least id of its fingerprint, so that a component's root holds the component's id
-    node = lambda end="": F.struct(*(F.col(f"{end}{c}").alias(c) for c in ("none", "least", "fp")))
+    # ordered so that a component's root holds the component's id
+    node = lambda end="": F.struct(*(F.col(f"{end}{c}").alias(c) for c in ("none", "least")))
     roots = connected_components(found.select(node("a_").alias("a"), node("b_").alias("b")))
     named = prints.select("fp", node().alias("node")).join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    named = named.select("fp", F.when(~F.col("root.none"), F.col("root.least")).alias("component_id"), F.col("root.fp").alias("root"))
+    named = named.select("fp", F.when(~F.col("root.none"), F.col("root.least")).alias("component_id"), "root")
     return rows.join(settle(named, "roots"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
@@ -324,8 +332,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = settle(components(docs, id_col, text_col, size, similarity=similarity), "components")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias(key), F.col("m.fp").alias(print_))
     twice = found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
-    if not twice:
-        return docs.join(best, docs[id_col] == best[key], "left_semi")
+    if not twice:  # only texts that may go are shuffled
+        gone = settle(found.select(F.col("doc_id").alias(key)).join(best, key, "left_anti"), "gone")
+        maybe, stays = part_by_members(docs, F.col(id_col), gone)
+        return maybe.join(gone, maybe[id_col] == gone[key], "left_anti").unionByName(stays)
     marked = fingerprints(docs, text_col, name=own, size=size, wide=similarity is not None)
     same = marked[id_col].eqNullSafe(best[key]) & (marked[own] == best[print_])
     return marked.join(best, same, "left_semi").dropDuplicates([id_col, own]).drop(own)

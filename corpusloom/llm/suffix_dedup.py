@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bound_batches, release, settle, slices, unused
+from .common import bound_batches, part_by_members, release, settle, slices, unused
 
 LENGTH, GRAM, GROUP = 200, 50, 4000
 #: Stretches that share one suffix array, about.
@@ -295,8 +295,9 @@ def spans(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", text_col:
     # the first of each of several stretches of an anchor: read, and compared by suffix arrays
     asked = marks.where("mixed").select("h", "w", "k1", "k2", "ord", "pack", F.col("kind").alias("kinds"))
     buckets = max(1, -(-asked.where(F.col("kinds") <= group).count() // TOGETHER))
-    wanted = asked.groupBy("k1", "k2", "ord").agg(F.collect_list(F.struct("h", "w", "kinds", _place().alias("place"), _first().alias("first"), _last().alias("last"))).alias("runs"))  # of one text
-    read = settle(_read_runs(wanted.join(_texts(docs, id_col, text_col), ["k1", "k2", "ord"]), length), "runs")
+    wanted = settle(asked.groupBy("k1", "k2", "ord").agg(F.collect_list(F.struct("h", "w", "kinds", _place().alias("place"), _first().alias("first"), _last().alias("last"))).alias("runs")), "wanted")  # of one text
+    texts, _ = part_by_members(_texts(docs, id_col, text_col), F.col("k1"), wanted.select("k1"))  # no others are shuffled
+    read = settle(_read_runs(wanted.join(texts, ["k1", "k2", "ord"]), length), "runs")
     crowded = settle(read.groupBy("h").agg(F.max("kinds").alias("most")).where(F.col("most") > group).select("h"), "crowded")
     some, marked = read, None
     if crowded.limit(1).count():
@@ -559,7 +560,9 @@ def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", t
     found = spans(docs, keep, id_col, text_col, length, group, gram)
     by = ["k1", "k2", "ord"] if keep == "first" else _KEYS
     own_names = dict(zip(["k1", "k2", "ord", "s"], [k1, k2, ord_, s], strict=True))
-    joined = _keyed(docs, id_col, text_col, inner).join(found.select(*(F.col(c).alias(own_names[c]) for c in [*by, "s"])), [own_names[c] for c in by], "left")
+    maybe, untouched = part_by_members(_keyed(docs, id_col, text_col, inner), F.col(k1), found.select("k1"))  # only texts that may lose a span are shuffled
+    joined = maybe.join(found.select(*(F.col(c).alias(own_names[c]) for c in [*by, "s"])), [own_names[c] for c in by], "left")
+    joined = joined.unionByName(untouched.withColumn(s, F.lit(None).cast(found.schema["s"].dataType)))
     copy = F.lit(False)
     if alike is not None:
         joined = joined.join(alike, [k1, k2, ord_], "left")

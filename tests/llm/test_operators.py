@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import part_by_members
 from corpusloom.llm import bpe, components, html_extract, langid, media, order_minhash, packing, quality, simhash, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 long, fp string, grp int, score string, s int"
@@ -219,6 +220,18 @@ def test_cut_characters_stay(spark):
 # 7
 
 
+def test_parting_by_members(spark):
+    """No member is missed, nearly all others are told apart; nulls and repeated keys do no harm."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 19_990, F.xxhash64("id")).alias("k"), F.lit("x").alias("possible"))
+    members = df.where("k % 9 = 0").select("k").union(spark.createDataFrame([(None,), (-5,), (-5,)], "k long"))
+    maybe, others = part_by_members(df, F.col("k"), members)
+    wanted = members.where("k IS NOT NULL").distinct().count() - 1
+    assert maybe.columns == df.columns and maybe.join(members.distinct(), "k", "left_semi").count() == wanted
+    assert maybe.count() + others.count() == 20_000 and maybe.count() < wanted + 800
+    maybe, others = part_by_members(df, F.col("k"), members.limit(0))
+    assert maybe.count() == 0 and others.count() == 20_000
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(0, i) for i in range(301, 400)] + [(i, i + 1) for i in range(500, 540)]
@@ -248,8 +261,8 @@ def test_links_against_all_pairs(spark, tile, count):
         for k in range(9):
             values.add(int((np.array([b]).view(np.uint64) ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, k, False)))).view(np.int64)[0]))
     values = sorted(values)
-    prints = spark.createDataFrame([(v, False, 1) for v in values], "fp long, none boolean, least long")
-    links = [(r["a_fp"], r["b_fp"]) for r in simhash.links(prints, tile=tile, blocks=simhash.blocks_of(count)).collect()]
+    prints = spark.createDataFrame([(v, False, i) for i, v in enumerate(values)], "fp long, none boolean, least long")
+    links = [(values[r["a_least"]], values[r["b_least"]]) for r in simhash.links(prints, tile=tile, blocks=simhash.blocks_of(count)).collect()]
     near = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1") <= 4
     root = {v: v for v in values}
 
