@@ -341,6 +341,12 @@ def test_language(spark):
     assert [got[i][0] for i in range(4)] == ["en", "de", "und", "und"] and all(0 <= s <= 1 for _, s in got.values())
     assert langid.train(d.limit(0)) == {}
     assert {r["lang_pred"] for r in langid.predict(d, {}).collect()} == {"und"}
+    profiles = langid.train(d)
+    assert langid.predict(d.limit(0), profiles).count() == 0
+    twice = langid.predict(d.unionByName(d).withColumn("lang_pred", F.lit("mine")), profiles).collect()
+    assert len(twice) == 8 and {(r["doc_id"], r["lang_pred"], r["score"]) for r in twice} == {(i, *v) for i, v in got.items()}
+    tie = langid.train(d.withColumn("text", F.lit("the same words")))
+    assert langid.predict(d.limit(1), tie).first()["lang_pred"] == "de"  # the first in alphabetical order
 
 
 # 10

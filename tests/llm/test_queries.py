@@ -235,3 +235,23 @@ def test_pipeline(spark, texts, tmp_path):
     encode = packing.load_encoder(P.path("byte_bpe_50k.json"))
     assert docs.agg(F.sum("length")).first()[0] == sum(len(encode([r["text"]])[0]) + 1 for r in kept["suffix"].collect())
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns with names used inside, and empty tables, through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({n: F.lit("mine") for n in ("score", "_score", "__score", "id", "fp", "k1", "again", "possible", "number")})
+    long = " ".join(f"w{i * i % 7919}" for i in range(60_000))
+    odd = [(9_000_001, None), (9_000_002, ""), (9_000_003, long), (9_000_003, long), (None, "one row without an id, of some words that no other has"), (None, None)]
+    more = spark.createDataFrame([(i, t, "en", "odd", None if t is None else len(t)) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(more.select(*(F.col(c).cast(docs.schema[c].dataType) if c in more.columns else F.lit("mine").alias(c) for c in docs.columns)))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+        assert docs.where(" OR ".join(f"{c} <> 'mine'" for c in columns if c not in more.columns)).count() == 0
+        if name == "simhash":
+            assert docs.where("doc_id = 9000003").count() <= 1 and docs.where("text IS NULL OR text = ''").count() <= 1
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert packed.count() > 0 and corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
