@@ -560,9 +560,10 @@ def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", t
     found = spans(docs, keep, id_col, text_col, length, group, gram)
     by = ["k1", "k2", "ord"] if keep == "first" else _KEYS
     own_names = dict(zip(["k1", "k2", "ord", "s"], [k1, k2, ord_, s], strict=True))
-    maybe, untouched = part_by_members(_keyed(docs, id_col, text_col, inner), F.col(k1), found.select("k1"))  # only texts that may lose a span are shuffled
+    maybe, untouched = _keyed(docs, id_col, text_col, inner), None
+    if alike is None:  # only texts that may lose a span are shuffled
+        maybe, untouched = part_by_members(maybe, F.col(k1), found.select("k1"))
     joined = maybe.join(found.select(*(F.col(c).alias(own_names[c]) for c in [*by, "s"])), [own_names[c] for c in by], "left")
-    joined = joined.unionByName(untouched.withColumn(s, F.lit(None).cast(found.schema["s"].dataType)))
     copy = F.lit(False)
     if alike is not None:
         joined = joined.join(alike, [k1, k2, ord_], "left")
@@ -591,4 +592,9 @@ def strip_repeats(docs: DataFrame, keep: str = "none", id_col: str = "doc_id", t
             types = [pa.int64()] * 3 + [pa.string()] if digest else [pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=names + [f.name for f in new])
 
-    return joined.select(*names, text, s, copy.alias(again)).mapInArrow(run, StructType(fields + new))
+    cut = joined.select(*names, text, s, copy.alias(again)).mapInArrow(run, StructType(fields + new))
+    if untouched is None:
+        return cut
+    zero, whole = F.lit(0).cast("long"), F.col(text)
+    values = (F.octet_length(whole).cast("long"), zero, zero, F.sha2(whole, 256)) if digest else (whole,)
+    return cut.unionByName(untouched.select(*names, *(v.alias(f.name) for v, f in zip(values, new, strict=True))))
