@@ -6,9 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
@@ -124,56 +123,30 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of a Bloom filter at most (16 MB), and of its pieces.
-BLOOM_BITS, BLOOM_PIECE = 1 << 27, 1 << 15
-
-
-def _bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Four places of each 64-bit key."""
-    x = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    y = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.stack([(x + np.uint64(k) * y) >> np.uint64(20) & np.uint64(bits - 1) for k in range(4)]).astype(np.int64)
+#: Bits of a Bloom filter at most (8 MB).
+BLOOM_BITS = 1 << 26
 
 
 def part_by_members(df: DataFrame, key: Column, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """df in two: the rows whose 64-bit key may be among members (one column of keys), and those whose key is not.
+    """df in two: the rows whose key may be among members (one column of keys of the same type), and those whose key is not.
 
     Long rows of the second kind then need no shuffle for a join with members. A Bloom filter decides: ten bits a member, no
-    more than BLOOM_BITS, filled and merged on the executors; beyond that more rows are of the first kind, and none is lost.
+    more than BLOOM_BITS; beyond that more rows are of the first kind, and none is lost. Its words, as few, are combined on
+    the executors and sent back as a scalar subquery, so that rows are told apart inside the JVM.
     """
     from pyspark.sql import functions as F
 
-    spark, name = df.sparkSession, members.columns[0]
-    bits = min(BLOOM_BITS, max(BLOOM_PIECE, 1 << (10 * members.count()).bit_length()))
-
-    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for places in _bloom_places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits):
-                np.bitwise_or.at(own, places >> 3, (1 << (places & 7)).astype(np.uint8))
-        pieces = own.reshape(-1, BLOOM_PIECE // 8)
-        at = np.flatnonzero(pieces.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([pieces[i].tobytes() for i in at], pa.binary())], names=["piece", "body"])
-
-    def merge(rows: pa.Table) -> pa.Table:
-        stack = np.stack([np.frombuffer(b, np.uint8) for b in rows.column("body").to_pylist()])
-        return pa.table({"piece": rows.column("piece")[:1], "body": pa.array([np.bitwise_or.reduce(stack).tobytes()], pa.binary())})
-
-    found = members.select(F.col(name).cast("long")).mapInArrow(fill, "piece long, body binary").groupBy("piece").applyInArrow(merge, "piece long, body binary")
-    whole = np.zeros((bits // BLOOM_PIECE, BLOOM_PIECE // 8), np.uint8)
-    for r in found.toLocalIterator():
-        whole[r["piece"]] = np.frombuffer(r["body"], np.uint8)
-    shared = spark.sparkContext.broadcast(whole.ravel())
-
-    @F.pandas_udf("boolean")
-    def possible(keys: pd.Series) -> pd.Series:
-        filled, out = shared.value, np.ones(len(keys), bool)
-        for places in _bloom_places(keys.to_numpy(np.int64), bits):
-            out &= (filled[places >> 3] >> (places & 7) & 1).astype(bool)
-        return pd.Series(out)
-
+    spark = df.sparkSession
+    bits = min(BLOOM_BITS, max(1 << 12, 1 << (10 * members.count()).bit_length()))
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(4)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+    filled = members.select(F.explode(F.array(*places(F.col(members.columns[0])))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("v"))
+    words = [0] * (bits // 64)
+    for r in filled.toLocalIterator():
+        words[r["w"]] = r["v"]
+    body = spark.createDataFrame([(words,)], "words array<long>").scalar()
     flag = unused(df.columns, "possible")[0]
-    marked = df.withColumn(flag, possible(F.coalesce(key.cast("long"), F.lit(0))))
+    marked = df.withColumn(flag, reduce(Column.__and__, (F.getbit(F.get(body, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places(key))))
     return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
 
 

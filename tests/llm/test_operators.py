@@ -225,7 +225,7 @@ def test_parting_by_members(spark):
     df = spark.range(20_000).select(F.when(F.col("id") < 19_990, F.xxhash64("id")).alias("k"), F.lit("x").alias("possible"))
     members = df.where("k % 9 = 0").select("k").union(spark.createDataFrame([(None,), (-5,), (-5,)], "k long"))
     maybe, others = part_by_members(df, F.col("k"), members)
-    wanted = members.where("k IS NOT NULL").distinct().count() - 1
+    wanted = members.where("k IS NOT NULL").distinct().count() - 1  # without -5, which no row has
     assert maybe.columns == df.columns and maybe.join(members.distinct(), "k", "left_semi").count() == wanted
     assert maybe.count() + others.count() == 20_000 and maybe.count() < wanted + 800
     maybe, others = part_by_members(df, F.col("k"), members.limit(0))
