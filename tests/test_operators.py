@@ -264,3 +264,12 @@ def test_environment_sse_and_chunks(spark):
     assert spark.range(1).select(readers.env_map(lines).alias("m")).first()["m"] == {"A": "x", "B": "1=2"}
     body = 'data: {"type":"token","content":"Hi"}\n\n: c\n\ndata: broken\n\ndata: {"type":"done"}\n\n'
     assert [e["type"] for e in spark.range(1).select(readers.sse_frames(F.lit(body)).alias("e")).first()["e"] if e["type"]] == ["token", "done"]
+
+
+def test_evaluated_rows_round_ties_as_their_sql(spark):
+    """1062 of 1600 words are distinct (0.66375, just below the tie once scaled); 784 words a sentence give -705.25."""
+    some = " ".join(f"w{i % 1062}" for i in range(1600))
+    text = " ".join(["cat"] * 637 + ["banana", "tomato"] * 73 + ["banana"])
+    got = {r["i"]: r for r in stats.evaluate_rows(rows(spark, [(0, some, "{}"), (1, text, "{}")], "i long, story string, raw string"), "story", "raw").collect()}
+    assert got[0]["distinct_1"] == 0.6637
+    assert got[1]["flesch"] == -705.3
