@@ -2,13 +2,15 @@
 
 Corners are found at several scales (Harris response, local maxima), each gets an orientation from its intensity
 centroid and 256 binary tests in a patch turned by it. Descriptors meet in Hamming tables (``TABLES`` keys of ``BITS``
-bits each) and are compared in full there. Two images with two matches that turn and grow alike are candidates; all their descriptors are
+bits each) and are compared in full there; they match where they are near and one of the ``BESIDE`` corners next to each
+has its key's first ``ASIDE`` bits in common too, for drawings are full of corners that look alike. Two images with two matches that turn and grow alike are candidates; all their descriptors are
 then compared with each other, and they are copies where ``AGREE`` corners lie on one similarity transform that two
 matches span. Images that are equal byte for byte are one image before any of this.
 
 Within a key every two descriptors are compared, and a descriptor emits its matches with the ``PARTNERS`` images next
-before it, so that a group of m copies yields about m matches and not their pairs; once classes are known, all pairs of a
-class are compared in full and counted, in tiles of bounded size. Keys of more than ``TILE``
+before it, so that a group of m copies yields about m matches and not their pairs. Where a descriptor has more, its key
+is met again once classes are known, for all further matches with images of other classes, until none is left; matches
+within a class need no vote, for all pairs of a class are compared in full and counted, in tiles of bounded size. Keys of more than ``TILE``
 descriptors are dealt over tiles, whose pairs are compared in groups of their own.
 
 Images: binary PNG (8 bits, not interlaced), PGM or PPM. The test tables hold no images; the query draws one from every
@@ -40,8 +42,12 @@ SCALES, CORNERS, MARGIN, PATCH = (1.0, 1.5, 2.25), 16, 11, 7
 #: sides: they grow with the image's area, and those of a picture that lie inside a crop are corners of the crop.
 SPACING = (9, 6, 3)
 TABLES, BITS, NEAR, AGREE, TILE = 6, 18, 40, 5, 2048
-#: Matches of a descriptor that a key emits; so many that agree make an image pair a candidate; pixels by which a transform may miss.
+#: Nearest corners of the same scale that stand beside one, and the bits of their keys of which one's must be equal.
+BESIDE, ASIDE = 8, 14
+#: Matches of a descriptor that a key emits at first (the rest follows, see copies); so many that agree make an image pair a candidate; pixels by which a transform may miss.
 PARTNERS, VOTES, MISS = 32, 2, 4.0
+#: How many times as many matches each further round reaches.
+FURTHER = 8
 #: Images of a class that are compared with as many others at once.
 GROUP = 64
 #: The tests whose outcomes are a table's key.
@@ -227,8 +233,12 @@ def corners(media: DataFrame, id_col: str = "media_id", image_col: str = "image"
     return rows.mapInArrow(run, "media_id long, digest string, spots array<long>")
 
 
-def _meet(key: np.ndarray, image: np.ndarray, code: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (earlier, later) of different images that match, where rows of equal keys are neighbours in order of image."""
+def _meet(key: np.ndarray, image: np.ndarray, code: np.ndarray, near: int = NEAR, beside: np.ndarray | None = None, root: np.ndarray | None = None, ranks: tuple[int, int] = (0, PARTNERS)) -> tuple[np.ndarray, ...]:
+    """Rows (earlier, later) of different images that match, where rows of equal keys are neighbours in order of image.
+
+    Of a row's matches with earlier rows, counted from the nearest, those beyond ranks[0] and up to ranks[1] are given if
+    the roots differ; with roots, the keys that hold rows with more matches are a third result.
+    """
     n = len(image)
     last = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]]))
     end = last[np.searchsorted(last, np.arange(n))]
@@ -241,13 +251,39 @@ def _meet(key: np.ndarray, image: np.ndarray, code: np.ndarray, near: int = NEAR
             break
         # two words rule most pairs out
         hit = at[np.bitwise_count(w0[at] ^ w0[at + off]) + np.bitwise_count(w1[at] ^ w1[at + off]) <= near]
-        hit = hit[(np.bitwise_count(code[hit] ^ code[hit + off]).sum(axis=1) <= near) & (image[hit] != image[hit + off]) & (made[hit + off] < PARTNERS)]
-        left.append(hit)
-        right.append(hit + off)
+        hit = hit[(np.bitwise_count(code[hit] ^ code[hit + off]).sum(axis=1) <= near) & (image[hit] != image[hit + off])]
+        if beside is not None:
+            hit = hit[_share(beside[hit], beside[hit + off])]
         made[hit + off] += 1
+        given = hit[(made[hit + off] > ranks[0]) & (made[hit + off] <= ranks[1])]
+        if root is not None:
+            given = given[root[given] != root[given + off]]
+        left.append(given)
+        right.append(given + off)
         off += 1
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(none + left), np.concatenate(none + right)
+    out = np.concatenate(none + left), np.concatenate(none + right)
+    return out if root is None else (*out, np.unique(key[made > ranks[1]]))
+
+
+def _beside(spots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Spot x BESIDE: rows of the nearest spots of the same image and scale; -1 where there are fewer."""
+    x, y, scale, _ = unpack_spots(spots[:, 0])
+    where, out, at = x + 1j * y, np.full((len(spots), BESIDE), -1), 0
+    for n in sizes.tolist():
+        z, s = where[at : at + n], scale[at : at + n]
+        far = np.where(s[:, None] == s, np.abs(z[:, None] - z), np.inf)
+        np.fill_diagonal(far, np.inf)
+        near = np.argsort(far, axis=1, kind="stable")[:, :BESIDE]
+        out[at : at + n, : near.shape[1]] = np.where(np.isfinite(np.take_along_axis(far, near, axis=1)), near + at, -1)
+        at += n
+    return out
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether any of the short numbers in a row's longs is among those of the other's; ones alone stand for none."""
+    a, b = (np.ascontiguousarray(v).view(np.uint16).reshape(-1, BESIDE) for v in (a, b))
+    return ((a[:, :, None] == b[:, None]) & (a != 0xFFFF)[:, :, None]).any(axis=(1, 2))
 
 
 def table_keys(code: np.ndarray) -> np.ndarray:
@@ -257,7 +293,7 @@ def table_keys(code: np.ndarray) -> np.ndarray:
 
 
 def _keyed(reps: DataFrame, tables: range) -> DataFrame:
-    """key, media_id, place, w0 .. w3: each spot under its key of each of the tables."""
+    """key, media_id, place, w0 .. w3, b0 and b1 (the neighbours' short keys): each spot under its key of each of the tables."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,14 +302,20 @@ def _keyed(reps: DataFrame, tables: range) -> DataFrame:
                 sizes = np.array([len(x) // SPOT for x in part.column(1)], np.int64)
                 spots = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SPOT)
                 owner = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)
-                cols = [table_keys(spots[:, 1:])[:, tables].ravel(), np.repeat(owner, len(tables)), *(np.repeat(spots[:, k], len(tables)) for k in range(SPOT))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "media_id", "place", "w0", "w1", "w2", "w3"])
+                keys, next_to = table_keys(spots[:, 1:])[:, tables], _beside(spots, sizes)
+                short = np.where(next_to[:, :, None] < 0, 0xFFFF, keys[next_to] & ((1 << ASIDE) - 1)).astype(np.uint16)
+                beside = np.ascontiguousarray(short.transpose(0, 2, 1)).view(np.int64).reshape(-1, BESIDE // 4)
+                cols = [keys.ravel(), np.repeat(owner, len(tables)), *(np.repeat(spots[:, k], len(tables)) for k in range(SPOT)), *np.ascontiguousarray(beside.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "media_id", "place", "w0", "w1", "w2", "w3", "b0", "b1"])
 
-    return reps.select("media_id", "spots").mapInArrow(run, "key int, media_id long, place long, w0 long, w1 long, w2 long, w3 long")
+    return reps.select("media_id", "spots").mapInArrow(run, "key int, media_id long, place long, w0 long, w1 long, w2 long, w3 long, b0 long, b1 long")
 
 
-def matches(reps: DataFrame, tile: int = TILE, tables: range = range(TABLES)) -> DataFrame:
-    """p, q, at, to: places of corners of p that match one of q, another image, in the Hamming tables. reps: media_id, spots."""
+def matches(reps: DataFrame, tile: int = TILE, tables: range = range(TABLES), ranks: tuple[int, int] = (0, PARTNERS), only: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """p, q, at, to: places of corners of p that match one of q, another image, in the Hamming tables; and rows without p
+    whose at is a key that has matches beyond the ranks. reps: media_id, spots. only: key, those to meet. roots: node,
+    root; images of one root are not matched.
+    """
     rows = _keyed(reps, tables)
     # at most one key for each tile descriptors of a table is large
     large = settle(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "keys")
@@ -282,15 +324,22 @@ def matches(reps: DataFrame, tile: int = TILE, tables: range = range(TABLES)) ->
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
     # one long tells groups apart, so that shuffled rows stay small
     group = F.shiftleft(F.col("key").cast("long"), 32).bitwiseOR(F.shiftleft("ij.i", 16)).bitwiseOR(F.col("ij.j")).alias("key")
-    met = met.withColumn("ij", F.explode(pair)).select(group, "media_id", "place", "w0", "w1", "w2", "w3")
+    met = met.withColumn("ij", F.explode(pair)).select(group, "media_id", "place", "w0", "w1", "w2", "w3", "b0", "b1")
+    if only is not None:
+        met = met.join(only, "key", "left_semi")
+    if roots is not None:
+        met = met.join(roots.withColumnRenamed("node", "media_id"), "media_id", "left").withColumn("root", F.coalesce("root", "media_id"))
     buckets = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(buckets, "key").sortWithinPartitions("key", "media_id", "place")
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         key, image, place = (rows.column(c).to_numpy() for c in ("key", "media_id", "place"))
         code = np.stack([rows.column(f"w{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
-        left, right = _meet(key, image, code)
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (image[left], image[right], place[left], place[right])], names=["p", "q", "at", "to"])
+        root = rows.column("root").to_numpy() if "root" in rows.column_names else image
+        left, right, more = _meet(key, image, code, beside=np.stack([rows.column(c).to_numpy() for c in ("b0", "b1")], axis=1), root=root, ranks=ranks)
+        none = pa.nulls(len(more), pa.int64())
+        columns = [pa.chunked_array([pa.array(v), w]).combine_chunks() for v, w in ((image[left], none), (image[right], none), (place[left], pa.array(more)), (place[right], none))]
+        return pa.RecordBatch.from_arrays(columns, names=["p", "q", "at", "to"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -385,22 +434,38 @@ def _agree(a: Column, b: Column) -> Column:
     return (a["at"] != b["at"]) & (a["to"] != b["to"]) & ((turn <= 171) | (turn >= 853)) & (F.abs(grow) <= 1)
 
 
+def joined(reps: DataFrame, agree: int = AGREE) -> DataFrame:
+    """node, root: the smallest image that each image with a link reaches. reps: media_id, spots."""
+    cornered, ranks, rest, roots, votes, tried, links = reps.where(F.size("spots") > 0), (0, PARTNERS), None, None, [], [], []
+    while True:
+        met = []
+        # two tables at a time, so that only their shuffle takes disk
+        for at in range(0, TABLES, 2):
+            met.append(settle(matches(cornered, tables=range(at, min(at + 2, TABLES)), ranks=ranks, only=rest, roots=roots), "votes"))
+            release(reps.sparkSession)
+        found_now = reduce(DataFrame.unionByName, met)
+        votes.append(found_now.where("p IS NOT NULL"))
+        seen = reduce(DataFrame.unionByName, votes).groupBy("p", "q").agg(F.collect_set(F.struct("at", "to")).alias("v")).where(F.size("v") >= VOTES)
+        candidates = seen.where(F.exists("v", lambda a: F.exists("v", lambda b: _agree(a, b)))).select("p", "q")
+        if tried:
+            candidates = candidates.join(reduce(DataFrame.unionByName, tried), ["p", "q"], "left_anti")
+        tried.append(settle(candidates, "candidates"))
+        links.append(settle(verified(tried[-1], reps, agree), "links"))
+        roots = settle(connected_components(reduce(DataFrame.unionByName, links).select(F.col("p").alias("a"), F.col("q").alias("b"))), "roots")
+        rest = settle(found_now.where("p IS NULL").select(F.col("at").alias("key")).distinct(), "rest")
+        if rest.isEmpty():
+            return roots
+        # what the ranks left, between classes that are still apart
+        ranks = (ranks[1], ranks[1] * FURTHER)
+
+
 def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image", agree: int = AGREE) -> DataFrame:
     """media_id, n_corners, class_id (the smallest id among an image's copies), n_links (images found to be its copies)."""
     found = settle(corners(media, id_col, image_col), "corners")
     images = found.select("media_id", "digest", F.floor(F.size("spots") / SPOT).cast("int").alias("n_corners"))
     same = images.groupBy("digest").agg(F.min("media_id").alias("rep"), F.count("*").alias("copies"))
     reps = found.join(same.select(F.col("rep").alias("media_id"), "digest"), ["media_id", "digest"], "left_semi").groupBy("media_id", "digest").agg(F.first("spots").alias("spots")).select("media_id", "spots")
-    # two tables at a time, so that only their shuffle takes disk
-    votes = []
-    for at in range(0, TABLES, 2):
-        votes.append(settle(matches(reps.where(F.size("spots") > 0), tables=range(at, min(at + 2, TABLES))), "votes"))
-        release(media.sparkSession)
-    seen = reduce(DataFrame.unionByName, votes).groupBy("p", "q").agg(F.collect_set(F.struct("at", "to")).alias("v")).where(F.size("v") >= VOTES)
-    candidates = seen.where(F.exists("v", lambda a: F.exists("v", lambda b: _agree(a, b)))).select("p", "q")
-    links = verified(settle(candidates, "candidates"), reps, agree)
-    links = settle(links, "links")
-    roots = settle(connected_components(links.select(F.col("p").alias("a"), F.col("q").alias("b"))), "roots")
+    roots = joined(reps, agree)
     members = roots.join(same.select(F.col("rep").alias("node"), "copies"), "node").join(reps.withColumnRenamed("media_id", "node"), "node")
     degree = links_within(members, agree)
     reps = same.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left")

@@ -66,3 +66,31 @@ def test_crop_of_a_weak_region(spark):
     rows = classes(spark, images)
     assert [rows[i]["class_id"] for i in range(len(images))] == [0] * 5 + [5, 6, 7, 8]
     assert rows[0]["n_links"] == 4
+
+
+def scattered(codes, seed):
+    """The descriptors at places and angles of their own."""
+    rng = np.random.RandomState(seed)
+    where = np.stack([rng.uniform(20, 400, len(codes)), rng.uniform(20, 400, len(codes)), np.ones(len(codes)), rng.uniform(0, 6.2, len(codes))], axis=1)
+    return media.pack_spots(where, codes)
+
+
+def test_copies_beyond_partners(spark):
+    """An image and its copy, with more images between them that show the same corners elsewhere than a key emits at first."""
+    codes = np.random.RandomState(3).randint(0, 256, (8, 32)).astype(np.uint8)
+    images = [scattered(codes, 0), *(scattered(codes, 1 + i) for i in range(media.PARTNERS + 4)), scattered(codes, 0)]
+    last = len(images) - 1
+    assert media.agree_on_transform(images[0], images[last]) and not any(media.agree_on_transform(x, images[last]) for x in images[1:last])
+    reps = spark.createDataFrame([(i, [int(v) for v in x.ravel()]) for i, x in enumerate(images)], "media_id long, spots array<long>")
+    first = media.matches(reps).where("p IS NOT NULL").collect()
+    assert first and not any((r["p"], r["q"]) == (0, last) for r in first)
+    assert {r["node"]: r["root"] for r in media.joined(reps).collect()} == {0: 0, last: 0}
+
+
+def test_lone_corners_alike_do_not_match(spark):
+    """A corner that all images share, among corners of their own, yields no matches, whose number would be their square."""
+    rng = np.random.RandomState(5)
+    one = rng.randint(0, 256, (1, 32)).astype(np.uint8)
+    images = [scattered(np.concatenate([one, rng.randint(0, 256, (12, 32)).astype(np.uint8)]), i) for i in range(30)]
+    reps = spark.createDataFrame([(i, [int(v) for v in x.ravel()]) for i, x in enumerate(images)], "media_id long, spots array<long>")
+    assert media.matches(reps).count() < 30
