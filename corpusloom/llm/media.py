@@ -233,7 +233,7 @@ def corners(media: DataFrame, id_col: str = "media_id", image_col: str = "image"
     return rows.mapInArrow(run, "media_id long, digest string, spots array<long>")
 
 
-def _meet(key: np.ndarray, image: np.ndarray, code: np.ndarray, near: int = NEAR, beside: np.ndarray | None = None, root: np.ndarray | None = None, ranks: tuple[int, int] = (0, PARTNERS)) -> tuple[np.ndarray, ...]:
+def _meet(key: np.ndarray, image: np.ndarray, code: np.ndarray, near: int = NEAR, side: np.ndarray | None = None, beside: np.ndarray | None = None, root: np.ndarray | None = None, ranks: tuple[int, int] = (0, PARTNERS)) -> tuple[np.ndarray, ...]:
     """Rows (earlier, later) of different images that match, where rows of equal keys are neighbours in order of image.
 
     Of a row's matches with earlier rows, counted from the nearest, those beyond ranks[0] and up to ranks[1] are given if
@@ -252,6 +252,8 @@ def _meet(key: np.ndarray, image: np.ndarray, code: np.ndarray, near: int = NEAR
         # two words rule most pairs out
         hit = at[np.bitwise_count(w0[at] ^ w0[at + off]) + np.bitwise_count(w1[at] ^ w1[at + off]) <= near]
         hit = hit[(np.bitwise_count(code[hit] ^ code[hit + off]).sum(axis=1) <= near) & (image[hit] != image[hit + off])]
+        if side is not None:
+            hit = hit[(side[hit] < 0) | (side[hit] != side[hit + off])]
         if beside is not None:
             hit = hit[_share(beside[hit], beside[hit + off])]
         made[hit + off] += 1
@@ -324,7 +326,9 @@ def matches(reps: DataFrame, tile: int = TILE, tables: range = range(TABLES), ra
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
     # one long tells groups apart, so that shuffled rows stay small
     group = F.shiftleft(F.col("key").cast("long"), 32).bitwiseOR(F.shiftleft("ij.i", 16)).bitwiseOR(F.col("ij.j")).alias("key")
-    met = met.withColumn("ij", F.explode(pair)).select(group, "media_id", "place", "w0", "w1", "w2", "w3", "b0", "b1")
+    # the second of two tiles has the place's sign
+    place = F.when((F.col("ij.i") < F.col("ij.j")) & (F.col("mine") == F.col("ij.j")), F.col("place").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("place")).alias("place")
+    met = met.withColumn("ij", F.explode(pair)).select(group, "media_id", place, "w0", "w1", "w2", "w3", "b0", "b1")
     if only is not None:
         met = met.join(only, "key", "left_semi")
     if roots is not None:
@@ -336,7 +340,9 @@ def matches(reps: DataFrame, tile: int = TILE, tables: range = range(TABLES), ra
         key, image, place = (rows.column(c).to_numpy() for c in ("key", "media_id", "place"))
         code = np.stack([rows.column(f"w{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
         root = rows.column("root").to_numpy() if "root" in rows.column_names else image
-        left, right, more = _meet(key, image, code, beside=np.stack([rows.column(c).to_numpy() for c in ("b0", "b1")], axis=1), root=root, ranks=ranks)
+        # a tile's own pairs belong to the group of that tile alone
+        side, place = np.where(key >> 16 & 0xFFFF != key & 0xFFFF, place < 0, -1), place & (2**63 - 1)
+        left, right, more = _meet(key, image, code, side=side, beside=np.stack([rows.column(c).to_numpy() for c in ("b0", "b1")], axis=1), root=root, ranks=ranks)
         none = pa.nulls(len(more), pa.int64())
         columns = [pa.chunked_array([pa.array(v), w]).combine_chunks() for v, w in ((image[left], none), (image[right], none), (place[left], pa.array(more)), (place[right], none))]
         return pa.RecordBatch.from_arrays(columns, names=["p", "q", "at", "to"])
@@ -439,9 +445,9 @@ def joined(reps: DataFrame, agree: int = AGREE) -> DataFrame:
     cornered, ranks, rest, roots, votes, tried, links = reps.where(F.size("spots") > 0), (0, PARTNERS), None, None, [], [], []
     while True:
         met = []
-        # two tables at a time, so that only their shuffle takes disk
-        for at in range(0, TABLES, 2):
-            met.append(settle(matches(cornered, tables=range(at, min(at + 2, TABLES)), ranks=ranks, only=rest, roots=roots), "votes"))
+        # a table at a time, so that only its shuffle takes disk
+        for at in range(TABLES):
+            met.append(settle(matches(cornered, tables=range(at, at + 1), ranks=ranks, only=rest, roots=roots), "votes"))
             release(reps.sparkSession)
         found_now = reduce(DataFrame.unionByName, met)
         votes.append(found_now.where("p IS NOT NULL"))

@@ -94,3 +94,10 @@ def test_lone_corners_alike_do_not_match(spark):
     images = [scattered(np.concatenate([one, rng.randint(0, 256, (12, 32)).astype(np.uint8)]), i) for i in range(30)]
     reps = spark.createDataFrame([(i, [int(v) for v in x.ravel()]) for i, x in enumerate(images)], "media_id long, spots array<long>")
     assert media.matches(reps).count() < 30
+
+
+def test_tiles_give_each_match_once(spark):
+    codes = np.random.RandomState(3).randint(0, 256, (3, 32)).astype(np.uint8)
+    reps = spark.createDataFrame([(i, [int(v) for v in scattered(codes, i).ravel()]) for i in range(12)], "media_id long, spots array<long>")
+    whole, tiled = (sorted(map(tuple, media.matches(reps, tile=n, tables=range(1)).collect())) for n in (100, 4))
+    assert len(whole) == 3 * 66 and tiled == whole
