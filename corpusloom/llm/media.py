@@ -48,6 +48,8 @@ BESIDE, ASIDE = 8, 14
 PARTNERS, VOTES, MISS = 32, 2, 4.0
 #: How many times as many matches each further round reaches.
 FURTHER = 8
+#: Matches that a task holds, about, before it leaves out those beyond the ranks.
+HELD = 1 << 20
 #: Images of a class that are compared with as many others at once.
 GROUP = 64
 #: The tests whose outcomes are a table's key.
@@ -240,34 +242,74 @@ def _meet(key: np.ndarray, image: np.ndarray, code: np.ndarray, near: int = NEAR
     the roots differ; with roots, the keys that hold rows with more matches are a third result.
     """
     n = len(image)
-    last = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]]))
-    end = last[np.searchsorted(last, np.arange(n))]
-    made, left, right = np.zeros(n, np.int64), [], []
+    row, run, short = _runs(np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64), beside)
+    last = np.flatnonzero(np.concatenate([run[1:] != run[:-1], [True]]))
+    end = last[np.searchsorted(last, np.arange(len(row)))]
+    made, left, right, held = np.zeros(n, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     w0, w1 = code[:, 0].copy(), code[:, 1].copy()
-    at, off = np.arange(n), 1
+    at, off = np.arange(len(row)), 1
     while True:
         at = at[at + off <= end[at]]
         if not len(at):
             break
+        a, b = row[at], row[at + off]
         # two words rule most pairs out
-        hit = at[np.bitwise_count(w0[at] ^ w0[at + off]) + np.bitwise_count(w1[at] ^ w1[at + off]) <= near]
-        hit = hit[(np.bitwise_count(code[hit] ^ code[hit + off]).sum(axis=1) <= near) & (image[hit] != image[hit + off])]
+        hit = np.flatnonzero(np.bitwise_count(w0[a] ^ w0[b]) + np.bitwise_count(w1[a] ^ w1[b]) <= near)
+        hit = hit[(np.bitwise_count(code[a[hit]] ^ code[b[hit]]).sum(axis=1) <= near) & (image[a[hit]] != image[b[hit]])]
         if side is not None:
-            hit = hit[(side[hit] < 0) | (side[hit] != side[hit + off])]
+            hit = hit[(side[a[hit]] < 0) | (side[a[hit]] != side[b[hit]])]
         if beside is not None:
-            hit = hit[_share(beside[hit], beside[hit + off])]
-        made[hit + off] += 1
-        given = hit[(made[hit + off] > ranks[0]) & (made[hit + off] <= ranks[1])]
-        if root is not None:
-            given = given[root[given] != root[given + off]]
-        left.append(given)
-        right.append(given + off)
+            # rows that meet in several runs match in the first of them
+            common, own = _shared(beside[a[hit]], beside[b[hit]]), short[at[hit]]
+            hit = hit[(common != 0xFFFF) & ((own < 0) | (own == common))]
+        np.add.at(made, b[hit], 1)
+        left.append(a[hit])
+        right.append(b[hit])
+        held += len(hit)
+        if held > HELD:
+            kept = _nearest(left, right, ranks[1])
+            left, right, held = [kept[0]], [kept[1]], 0
         off += 1
-    none = [np.zeros(0, np.int64)]
-    out = np.concatenate(none + left), np.concatenate(none + right)
+    left, right, rank = _nearest(left, right, ranks[1])
+    given = rank > ranks[0]
+    if root is not None:
+        given &= root[left] != root[right]
+    out = left[given], right[given]
     return out if root is None else (*out, np.unique(key[made > ranks[1]]))
 
 
+def _runs(number: np.ndarray, beside: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """row, run, short: runs of rows with one key (by its number) and one of their neighbours' short keys in common, in
+    order of rows, so that only rows that may match are compared; a key's rows make one run, with a short of -1, where
+    its runs would hold more pairs than that, or where there are no neighbours."""
+    every = np.arange(len(number))
+    if beside is None or not len(number):
+        return every, number, np.full(len(number), -1)
+    shorts = np.sort(_shorts(beside), axis=1).astype(np.int64)
+    use = shorts != 0xFFFF
+    use[:, 1:] &= shorts[:, 1:] != shorts[:, :-1]
+    row, short = np.nonzero(use)[0], shorts[use]
+    run = number[row] << 16 | short
+    order = np.argsort(run, kind="stable")
+    row, run, short = row[order], run[order], short[order]
+    start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(run)))
+    size = np.bincount(number)
+    pairs = np.bincount(number[row[start]], weights=length * (length - 1), minlength=len(size))
+    whole = pairs > size * (size - 1)
+    keep, own = np.repeat(length > 1, length) & ~whole[number[row]], every[whole[number]]
+    return np.concatenate([row[keep], own]), np.concatenate([run[keep], number[own] << 16 | 0xFFFF]), np.concatenate([short[keep], np.full(len(own), -1)])
+
+
+def _nearest(left: list[np.ndarray], right: list[np.ndarray], most: int) -> tuple[np.ndarray, ...]:
+    """left, right, rank: of each right row's pairs so many with the nearest left rows, which come before it."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((-a, b))
+    a, b = a[order], b[order]
+    rank = np.arange(len(b)) - np.searchsorted(b, b) + 1
+    return a[rank <= most], b[rank <= most], rank[rank <= most]
+
+
 def _beside(spots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Spot x BESIDE: rows of the nearest spots of the same image and scale; -1 where there are fewer."""
     x, y, scale, _ = unpack_spots(spots[:, 0])
@@ -282,10 +324,15 @@ def _beside(spots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether any of the short numbers in a row's longs is among those of the other's; ones alone stand for none."""
-    a, b = (np.ascontiguousarray(v).view(np.uint16).reshape(-1, BESIDE) for v in (a, b))
-    return ((a[:, :, None] == b[:, None]) & (a != 0xFFFF)[:, :, None]).any(axis=(1, 2))
+def _shorts(beside: np.ndarray) -> np.ndarray:
+    """The short numbers in each row's longs."""
+    return np.ascontiguousarray(beside).view(np.uint16).reshape(-1, BESIDE)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the short numbers in a row's longs that is among those of the other's; ones alone stand for none."""
+    a, b = _shorts(a), _shorts(b)
+    return np.where((a[:, :, None] == b[:, None]).any(axis=2), a, 0xFFFF).min(axis=1, initial=0xFFFF)
 
 
 def table_keys(code: np.ndarray) -> np.ndarray:
@@ -319,6 +366,9 @@ def matches(reps: DataFrame, tile: int = TILE, tables: range = range(TABLES), ra
     root; images of one root are not matched.
     """
     rows = _keyed(reps, tables)
+    if only is not None:
+        # the other keys' rows go no further
+        rows = rows.join(only.select(F.shiftright("key", 32).cast("int").alias("key")).distinct(), "key", "left_semi")
     # at most one key for each tile descriptors of a table is large
     large = settle(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "keys")
     met = rows.join(F.broadcast(large), "key", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
@@ -443,10 +493,11 @@ def _agree(a: Column, b: Column) -> Column:
 def joined(reps: DataFrame, agree: int = AGREE) -> DataFrame:
     """node, root: the smallest image that each image with a link reaches. reps: media_id, spots."""
     cornered, ranks, rest, roots, votes, tried, links = reps.where(F.size("spots") > 0), (0, PARTNERS), None, None, [], [], []
+    crowded = range(TABLES)
     while True:
         met = []
         # a table at a time, so that only its shuffle takes disk
-        for at in range(TABLES):
+        for at in crowded:
             met.append(settle(matches(cornered, tables=range(at, at + 1), ranks=ranks, only=rest, roots=roots), "votes"))
             release(reps.sparkSession)
         found_now = reduce(DataFrame.unionByName, met)
@@ -459,7 +510,8 @@ def joined(reps: DataFrame, agree: int = AGREE) -> DataFrame:
         links.append(settle(verified(tried[-1], reps, agree), "links"))
         roots = settle(connected_components(reduce(DataFrame.unionByName, links).select(F.col("p").alias("a"), F.col("q").alias("b"))), "roots")
         rest = settle(found_now.where("p IS NULL").select(F.col("at").alias("key")).distinct(), "rest")
-        if rest.isEmpty():
+        crowded = sorted(r["t"] for r in rest.select(F.shiftright("key", 32 + BITS).alias("t")).distinct().collect())
+        if not crowded:
             return roots
         # what the ranks left, between classes that are still apart
         ranks = (ranks[1], ranks[1] * FURTHER)

@@ -101,3 +101,67 @@ def test_tiles_give_each_match_once(spark):
     reps = spark.createDataFrame([(i, [int(v) for v in scattered(codes, i).ravel()]) for i in range(12)], "media_id long, spots array<long>")
     whole, tiled = (sorted(map(tuple, media.matches(reps, tile=n, tables=range(1)).collect())) for n in (100, 4))
     assert len(whole) == 3 * 66 and tiled == whole
+
+
+def met(key, image, code, side, beside, root, ranks):
+    """Every pair of a key by itself, in plain Python: what _meet gives and the keys with more."""
+    shorts = [set(row.view(np.uint16).tolist()) - {0xFFFF} for row in beside]
+    out, more = [], set()
+    for b in range(len(key)):
+        made = 0
+        for a in range(b - 1, -1, -1):
+            if key[a] != key[b]:
+                break
+            if image[a] == image[b] or np.bitwise_count(code[a] ^ code[b]).sum() > media.NEAR or not shorts[a] & shorts[b] or 0 <= side[a] == side[b]:
+                continue
+            made += 1
+            if ranks[0] < made <= ranks[1] and root[a] != root[b]:
+                out.append((a, b))
+        if made > ranks[1]:
+            more.add(int(key[b]))
+    return sorted(out), sorted(more)
+
+
+def test_meet_against_every_pair(monkeypatch):
+    """Keys with neighbours of many kinds, of one kind and of none, held matches cut down often or never."""
+    rng = np.random.RandomState(1)
+    for kinds in (1, 3, 40, 3000):
+        n = 240
+        key = np.sort(rng.randint(0, 4, n)).astype(np.int64)
+        image = np.concatenate([np.sort(rng.randint(0, 50, (key == k).sum())) for k in range(4)])
+        code = np.packbits((rng.rand(n, 256) < 0.07).astype(np.uint8), axis=1).view(np.uint64)
+        beside = np.where(rng.rand(n, media.BESIDE) < 0.1, 0xFFFF, rng.randint(0, kinds, (n, media.BESIDE))).astype(np.uint16).view(np.int64)
+        side, root = np.where(key == 2, rng.randint(0, 2, n), -1), image % 7
+        for ranks in ((0, 3), (3, 24), (0, 1000)):
+            for held in (10, 1 << 20):
+                monkeypatch.setattr(media, "HELD", held)
+                left, right, more = media._meet(key, image, code, side=side, beside=beside, root=root, ranks=ranks)
+                want = met(key, image, code, side, beside, root, ranks)
+                assert (sorted(zip(left.tolist(), right.tolist())), more.tolist()) == want
+        assert kinds > 40 or want[0]
+    none = media._meet(key[:0], image[:0], code[:0], side=side[:0], beside=beside[:0], root=root[:0])
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_only_rows_with_a_common_neighbour_are_compared():
+    """The pairs compared in a key of unlike surroundings are few, and no more than the key's pairs where all are alike."""
+    rng = np.random.RandomState(2)
+    pairs = lambda run: sum(n * (n - 1) // 2 for n in np.unique(run, return_counts=True)[1].tolist())
+    beside = rng.randint(0, 1 << media.ASIDE, (600, media.BESIDE)).astype(np.uint16).view(np.int64)
+    every = 600 * 599 // 2
+    assert pairs(media._runs(np.zeros(600, np.int64), beside)[1]) < every / 50
+    assert pairs(media._runs(np.zeros(600, np.int64), np.repeat(beside[:1], 600, axis=0))[1]) == every
+
+
+def test_further_rounds_meet_crowded_keys_alone(spark, monkeypatch):
+    """A key that is met again takes no other key's rows along, and gives what it gave among all."""
+    codes = np.random.RandomState(3).randint(0, 256, (3, 32)).astype(np.uint8)
+    reps = spark.createDataFrame([(i, [int(v) for v in scattered(codes, i).ravel()]) for i in range(12)], "media_id long, spots array<long>")
+    key = int(media.table_keys(codes.view(np.uint64).reshape(-1, 4))[0, 0])
+    whole = sorted(map(tuple, media.matches(reps, tile=8, tables=range(1)).collect()))
+    counted, settle = [], media.settle
+    monkeypatch.setattr(media, "settle", lambda df, name: counted.append(settle(df, name)) or counted[-1])
+    groups = [(key << 32 | i << 16 | j,) for i in range(2) for j in range(i, 2)]
+    again = sorted(map(tuple, media.matches(reps, tile=8, tables=range(1), only=spark.createDataFrame(groups, "key long")).collect()))
+    assert len(again) == 66 and set(again) < set(whole)
+    assert [r["key"] for r in counted[0].collect()] == [key]
